@@ -75,6 +75,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def whole_groups(batches, keys: int):
+    """Cuts a stream of Arrow batches, sorted by its first ``keys`` columns, where the key changes.
+
+    Yields (table, bounds): whole groups only, bounds being their first rows and the end. What is held
+    is one batch and the group that is still open.
+    """
+    import pyarrow as pa
+
+    def bounds(table):
+        new = np.zeros(table.num_rows, bool)
+        for i in range(keys):
+            c = table.column(i).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        cuts = bounds(rest)
+        if len(cuts):
+            yield rest.slice(0, int(cuts[-1])), np.concatenate([[0], cuts])
+            rest = rest.slice(int(cuts[-1]))
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])
+
+
 def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node, root the smallest.
 

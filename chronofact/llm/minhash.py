@@ -21,12 +21,13 @@ partitions don't matter; equal inputs give equal results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import bounded_batches, components, mix64, stage, text_buffers
+from chronofact.llm.common import bounded_batches, components, mix64, stage, text_buffers, whole_groups
 from chronofact.llm.shingles import shingle_sets
 
 #: Ids that fit in a broadcast of a few MB; more are joined by a shuffle.
@@ -90,26 +91,10 @@ def _sets(docs: DataFrame, width: int, k: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, members binary, sketch binary")
 
 
-def _groups(batches: Iterator, keys: int) -> Iterator[tuple[list[np.ndarray], list, np.ndarray]]:
-    """Whole groups out of batches sorted by the first columns: integer columns, the last column, group bounds."""
-    import pyarrow as pa
-
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        rest = table if rest is None else pa.concat_tables([rest, table])
-        cols = [rest.column(i).to_numpy() for i in range(rest.num_columns - 1)]
-        new = np.zeros(rest.num_rows, bool)
-        for c in cols[:keys]:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = np.flatnonzero(new)
-        if len(cuts):
-            done = int(cuts[-1])
-            yield [c[:done] for c in cols], rest.column(rest.num_columns - 1).slice(0, done), np.concatenate([[0], cuts])
-            rest = rest.slice(done)
-    if rest is not None and rest.num_rows:
-        cols = [rest.column(i).to_numpy() for i in range(rest.num_columns - 1)]
-        yield cols, rest.column(rest.num_columns - 1), np.array([0, rest.num_rows])
+def _groups(batches: Iterator) -> Iterator[tuple[list[np.ndarray], object, np.ndarray]]:
+    """The integer columns, the sketches and the bounds of whole (token, part) groups."""
+    for table, cuts in whole_groups(batches, 2):
+        yield [c.to_numpy() for c in table.columns[:-1]], table.columns[-1], cuts
 
 
 def _sketches(column, k: int) -> np.ndarray:
@@ -142,7 +127,7 @@ def _forest(k: int, least: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for (_, _, rep, comp), sketch, cuts in _groups(batches, 2):
+        for (_, _, rep, comp), sketch, cuts in _groups(batches):
             sketch = _sketches(sketch, k)
             sizes = np.diff(cuts)
             two = cuts[:-1][sizes == 2]
@@ -166,7 +151,7 @@ def _cross(k: int, least: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for (_, _, rep, comp, mover, own), sketch, cuts in _groups(batches, 2):
+        for (_, _, rep, comp, mover, own), sketch, cuts in _groups(batches):
             sketch = _sketches(sketch, k)
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -204,17 +189,27 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, coords: int = 32, min_matches: int = 16, sketch: int = 128, min_agree: int | None = None, rounds: int = 2, chunk: int = 1024, seed: int = 7) -> DataFrame:
+def least_matches(n: int, p: float, miss: float = 1e-6) -> int:
+    """The most that one may ask of n coordinates so that a pair at similarity p falls short with probability miss at most."""
+    tail, k = 0.0, 0
+    while k <= n:
+        tail += comb(n, k) * p**k * (1 - p) ** (n - k)
+        if tail > miss:
+            return k
+        k += 1
+    return n
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, coords: int = 32, sketch: int = 128, rounds: int = 2, chunk: int = 1024, seed: int = 7) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs; see the module's text for the method.
 
     Linked are texts whose shingle sets have a Jaccard similarity of at least percent / 100, each link
-    confirmed on the full sets. ``min_matches`` and ``min_agree`` only steer the candidate search: at the
-    threshold a pair is missed with a probability below 1e-5 for the defaults at 80 and 85 percent.
+    confirmed on the full sets. The candidate search asks for as many agreeing coordinates as a pair
+    at the threshold falls short of with a probability of 1e-6 at most.
     """
     spark = docs.sparkSession
-    p = percent / 100
-    if min_agree is None:  # 4.7 standard deviations below the mean at the threshold, both ways of agreeing by chance left out
-        min_agree = int(sketch * p - 4.7 * (sketch * p * (1 - p)) ** 0.5)
+    min_matches = max(1, least_matches(coords, percent / 100))
+    min_agree = least_matches(sketch, percent / 100)
     signed = stage(signatures(docs, id_col, text_col, width, coords, seed), "minhash-signatures")
     classes = stage(signed.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "minhash-classes")
 
