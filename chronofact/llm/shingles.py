@@ -31,10 +31,14 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts raw[at[i]:at[i+1]], and each text's number of words."""
+def words(raw: np.ndarray, at: np.ndarray, blank_bytes: np.ndarray = _IS_BLANK, prefixes: tuple[int, ...] = ()) -> tuple:
+    """64-bit hashes of all words of the texts raw[at[i]:at[i+1]], and each text's number of words.
+
+    With prefixes, also one array for each of them: the hashes of the words' first so many bytes (0 for
+    shorter words).
+    """
     n = len(at) - 1
-    blank = _IS_BLANK[raw]
+    blank = blank_bytes[raw]
     start = ~blank
     start[1:] &= blank[:-1]
     end = ~blank
@@ -46,13 +50,15 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, last = np.flatnonzero(start), np.flatnonzero(end)
     counts = np.diff(np.searchsorted(first, at)) if n else np.zeros(0, np.int64)
     if not len(first):
-        return np.zeros(0, np.uint64), counts
+        return (np.zeros(0, np.uint64), counts, *(np.zeros(0, np.uint64) for _ in prefixes))
     with np.errstate(over="ignore"):
         sums = np.empty(len(raw) + 1, np.uint64)
         sums[0] = 0
         np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(raw)), out=sums[1:])
-        h = (sums[last + 1] - sums[first]) * _power_table(_INVERSE, len(raw))[first]
-        return mix64(h + (last - first + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts
+        unplaced = _power_table(_INVERSE, len(raw))[first]
+        h = (sums[last + 1] - sums[first]) * unplaced
+        starts = (np.where(last - first >= p, mix64((sums[np.minimum(first + p, len(raw))] - sums[first]) * unplaced + np.uint64(p)), np.uint64(0)) for p in prefixes)
+        return (mix64(h + (last - first + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts, *starts)
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
