@@ -1,0 +1,128 @@
+"""Secret scan with a random forest against false positives, with DataFrame functions only.
+
+Candidates are runs of 16 or more characters of the alphabets that keys are written in. One pass of a regular
+expression marks each with what stands before and behind it. The forest, trained from labelled findings, judges
+length, alphabet shares, character transitions, repetition, dictionary coverage, path-like surroundings and
+neighbouring words; candidates below the threshold are dropped as false positives.
+
+Null and empty texts have no candidates. Texts are read whole; a candidate that occurs several times is found
+each time (``ordinal`` counts from 0 within a text). Repeated rows give repeated findings. Scores depend on the
+candidate and its surroundings only.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_SIGN = "[A-Za-z0-9+/_-]"
+#: A candidate, the 48 characters before it (fewer at the start) and up to 24 behind it.
+_FIND = rf"(?<!{_SIGN})(?={_SIGN}{{16}})(?:(?<=([\s\S]{{48}}))|(?<=(^[\s\S]{{0,47}})))({_SIGN}{{16,}}+={{0,2}})(?=([\s\S]{{0,24}}))"
+
+#: Frequent parts of identifiers, paths and prose.
+WORDS = """
+about access account action active address after alpha analysis application archive array asset author backup balance base batch
+beta block body book branch bridge browser buffer build button cache call card case center chain change channel char check
+child city class client close cloud code collection color column command comment common company component config connection
+container content context control copy core count create current custom data database date debug default delete demo design
+device dialog direct display document domain download driver east edit element email engine entry error event example export
+factory feature field file filter final first float folder form format frame free front function general get global graph group
+guide handler head help history home host html http image import index info init input install instance item java join json
+""".split()
+KEYS = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|auth|bearer|credential|signing"
+OTHERS = "sha|hash|commit|checksum|md5|uuid|guid|digest|revision|build|image|version|etag|file|path|url|http|href|src"
+FEATURES = ["length", "digits", "upper", "lower", "signs", "hex", "transitions", "distinct", "vowels", "dictionary", "path", "assigned", "quoted", "key_word", "other_word", "prefix"]
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ordinal, before, candidate, after)."""
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\x01\x02", "  ")
+    marked = F.regexp_replace(text, F.lit(_FIND), F.lit("\x01$1$2\x02$3\x02$4\x01"))
+    found = F.filter(F.split(marked, "\x01", -1), lambda x, i: i % 2 == 1)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("ordinal", "mark"))
+    parts = F.split("mark", "\x02", 3)
+    return rows.select("doc_id", "ordinal", parts[0].alias("before"), parts[1].alias("candidate"), parts[2].alias("after"))
+
+
+def with_features(found: DataFrame) -> DataFrame:
+    """found(before, candidate, after, ...) with the columns of FEATURES, all doubles."""
+    c, n = F.col("candidate"), F.char_length("candidate")
+
+    def share(pattern: str, of: Column = c) -> Column:
+        return F.regexp_count(of, F.lit(pattern)) / n
+
+    before = F.lower(F.col("before"))
+    turns = "(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[+/_=-])[A-Za-z0-9]"
+    covered = n - F.char_length(F.regexp_replace(F.lower(c), F.lit("|".join(sorted(WORDS, key=len, reverse=True))), F.lit("")))
+    values = {
+        "length": n, "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"), "signs": share("[+/_=-]"), "hex": c.rlike("^[0-9a-f]+$|^[0-9A-F]+$"),
+        "transitions": share(turns), "distinct": F.size(F.array_distinct(F.split(c, ""))) / n, "vowels": share("[aeiouAEIOU]"), "dictionary": covered / n,
+        "path": c.rlike("^/|/.*/") | F.col("before").rlike(r"([/\\.]|://\S*)$") | F.col("after").rlike(r"^(\.[a-z]{2,4}\b|/|\\)"),
+        "assigned": before.rlike(r"[=:]\s*[\"']?$"), "quoted": F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']"),
+        "key_word": before.rlike(f"(?:{KEYS})[^\\n]{{0,12}}$"), "other_word": before.rlike(f"(?:{OTHERS})[^\\n]{{0,12}}$"), "prefix": c.rlike("^(AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|AIza|eyJ)"),
+    }
+    return found.withColumns({k: v.cast("double") for k, v in values.items()})
+
+
+def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
+    """(before, candidate, after, label): findings made by rule, labelled 1 (secret) or 0, the same in every run.
+
+    Stands in for reviewed findings, of which the tables hold none; pass your own to ``train``.
+    """
+
+    def digest(name: str) -> Column:
+        return F.sha2(F.concat_ws("|", F.lit(name), F.col("id").cast("string")), 256)
+
+    def pick(name: str, values: list[str]) -> Column:
+        return F.get(F.array(*map(F.lit, values)), F.conv(F.substring(digest(name), 1, 8), 16, 10).cast("long") % len(values))
+
+    def coded(name: str, size: int) -> Column:
+        raw = F.concat(F.unhex(digest(name)), F.unhex(digest(name + "+")))
+        return F.substring(F.base64(raw), 1, size)
+
+    ids = spark.range(rows)
+    syllables = ["er", "en", "ti", "on", "ing", "cha", "lo", "keit", "ment", "que", "sta", "vor", "rea", "th", "ou", "ble"]
+    speech = F.concat(*(pick(f"w{i}", syllables) for i in range(9)))
+    names = F.concat_ws("_", *(pick(f"n{i}", WORDS) for i in range(4)))
+    camel = F.concat(*(F.initcap(pick(f"c{i}", WORDS)) for i in range(4)))
+    path = F.concat(F.lit("/"), F.concat_ws("/", *(pick(f"p{i}", WORDS) for i in range(4))))
+    uuid = F.regexp_replace(F.substring(digest("u"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    number = F.substring(F.concat(F.conv(F.substring(digest("d1"), 1, 14), 16, 10), F.conv(F.substring(digest("d2"), 1, 14), 16, 10)), 1, 16)
+    secret_before = F.concat(pick("b1", ["the value of ", "and then ", "config: ", "export ", "ou reti on. ", ""]), pick("b2", ["token", "secret", "api_key", "password", "access_key", "private_key", "auth"]), pick("b3", [' = "', "=", ': "', ": ", " = '"]))
+    plain_before = pick("b4", ["this is the ", "on and er ", ". ", "\n", "see ", "the file ", "a list of "])
+    other_before = F.concat(pick("b5", ["in ", "at ", ""]), pick("b6", ["commit ", "sha256: ", "checksum = ", "uuid: ", "digest=", "revision ", 'etag: "', "image hash "]))
+    kinds = [
+        (1, secret_before, F.substring(digest("h"), 1, 40)), (1, secret_before, coded("s", 40)), (1, secret_before, F.substring(digest("h2"), 1, 32)), (1, secret_before, digest("h3")),
+        (1, pick("b7", ["key ", "use ", "", '"']), F.concat(F.lit("AKIA"), F.upper(F.substring(digest("a"), 1, 16)))), (1, pick("b8", ["", "export X=", "login "]), F.concat(F.lit("ghp_"), F.translate(coded("g", 36), "+/=", "abc"))),
+        (0, plain_before, speech), (0, plain_before, names), (0, plain_before, camel), (0, plain_before, path), (0, plain_before, F.upper(speech)), (0, other_before, F.substring(digest("o"), 1, 40)),
+        (0, other_before, uuid), (0, plain_before, uuid), (0, plain_before, number), (0, secret_before, names), (0, plain_before, F.repeat(pick("r", ["-", "_", "=", "ab", "0"]), 16)), (0, other_before, digest("o2")),
+    ]
+    kind = F.col("id") % len(kinds)
+
+    def chosen(at: int) -> Column:
+        out = F.when(kind == 0, kinds[0][at] if at else F.lit(kinds[0][0]))
+        for i, k in enumerate(kinds[1:], 1):
+            out = out.when(kind == i, k[at] if at else F.lit(k[0]))
+        return out
+
+    after = pick("e", ['" then', '"', "\n", " and", ". The", ""])
+    return ids.select(chosen(1).alias("before"), chosen(2).alias("candidate"), after.alias("after"), chosen(0).cast("double").alias("label"))
+
+
+def train(findings: DataFrame, *, trees: int = 20, depth: int = 8, seed: int = 17) -> PipelineModel:
+    """A forest from findings(before, candidate, after, label)."""
+    rows = with_features(findings).select(*FEATURES, F.col("label").cast("double").alias("label"))
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features")
+    return PipelineModel([assembler, forest.fit(assembler.transform(rows))])
+
+
+def scan(docs: DataFrame, model: PipelineModel, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ordinal, before, candidate, after, score) of the candidates that the forest takes for secrets."""
+    judged = model.transform(with_features(candidates(docs, id_col, text_col)))
+    judged = judged.withColumn("score", vector_to_array("probability")[1])
+    return judged.where(F.col("score") >= threshold).select("doc_id", "ordinal", "before", "candidate", "after", "score")
