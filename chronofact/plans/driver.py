@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from chronofact.plans.catalog import query, tables
 from chronofact.plans.page import run_page
 
-Q: dict = {}
+QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
 def add(name: str, sql: str, call) -> None:
-    Q[name], SQL[name] = call, sql
+    QUERIES[name], SQL[name] = call, sql
 
 
 def paged(names: str, inner: dict, types: dict[str, str] | None = None, pages: int = 1, **wrapped):
