@@ -166,6 +166,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         table[at] = weights
         doc, bucket = _presence(*text_buffers(pa.Array.from_pandas(text, type=pa.large_string())), table != 0)
         g = np.bincount(doc, table[bucket], minlength=len(text)) + bias
-        return pd.Series(1 / (1 + np.exp(-np.clip(g, -700, 700))))
+        with np.errstate(over="ignore"):
+            return pd.Series(1 / (1 + np.exp(-g)))
 
     return docs.withColumn(score_col, of(F.col(text_col).cast("string")))
