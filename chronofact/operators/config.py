@@ -248,7 +248,8 @@ class Validation:
         """Validates all entities of the type and moves heads and checkpoint; writes nothing if nothing changed."""
         found = validate(self.store.facts(), entity_type)
         scope = f"_sys/validation/{content_id('validation', [ref, entity_type.name])}"
-        rows = found.groupBy("subject").agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "source", "reason")))).alias("issues"))
+        # keys in the order of the stored form, so that equal issues have equal text
+        rows = found.groupBy("subject").agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "reason", "source")))).alias("issues"))
         held = self.store.match(entity_type="sys.Validation").where(F.col("entity_id").startswith(scope + "/")).select("triple_id", F.expr(f"substring(entity_id, {len(scope) + 2})").alias("subject"), F.col("value_json").alias("was"))
         moved = rows.join(held, "subject", "full").where(~F.col("issues").eqNullSafe(F.col("was"))).collect()
         mark = {"release": release, "position": self._source_position()}

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofact.errors import DerivationError
 from chronofact.functions.values import content_id, lift
@@ -72,7 +73,7 @@ def _traced(source: FactTable, p: Pattern, at: int) -> Relation:
     return Relation(rows.select(*(c.alias(v) for v, (c, _) in out.items()), F.struct(*SOURCE).alias(trace)), {v: k for v, (_, k) in out.items()} | {trace: "trace"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())  # a type object: importing needs no session
 def _content_ids(domain, payload):
     import pandas as pd
 

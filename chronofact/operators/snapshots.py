@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofact.functions.values import canonical_json, content_id
 from chronofact.sources.basis import Basis, visible
@@ -11,7 +12,7 @@ from chronofact.sources.basis import Basis, visible
 VALUE = ["attribute", "value_type", "value_string", "value_number", "value_boolean", "value_datetime", "value_json"]
 
 
-@F.pandas_udf("state string, hash string")
+@F.pandas_udf(T.StructType([T.StructField("state", T.StringType()), T.StructField("hash", T.StringType())]))
 def _canonical(facts):
     import json
 
