@@ -11,7 +11,8 @@
    forest of agreeing pairs that aren't connected yet (at most one pair a row, never all pairs); these
    are confirmed on the full sets, components grow, and chunks are dealt anew. Last, the rows outside
    a list's largest component meet all rows of other components, so no link between components is
-   missed, and pairs within a component need no look.
+   missed, and pairs within a component need no look. A pair that several lists bring together is
+   handed on by the first of them only.
 
 Rows with a null id take no part in linking. A repeated id counts once, with all its texts. Null and
 empty texts and texts without words have an empty set and link with nothing. Order and number of
@@ -97,10 +98,20 @@ def _groups(batches: Iterator) -> Iterator[tuple[list[np.ndarray], object, np.nd
         yield [c.to_numpy() for c in table.columns[:-1]], table.columns[-1], cuts
 
 
+#: So many coordinates of a sketch are compared first, all of them only where these agree.
+COARSE = 128
+
+
 def _sketches(column, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, k)
 
 
+def _agreeing(one: np.ndarray, others: np.ndarray, at: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Those of the rows ``at`` of others whose sketch agrees with one, coarse and then whole."""
+    at = at[(others[at, :COARSE] == one[:COARSE]).sum(1) >= least[0]]
+    return at[(others[at] == one).sum(1) >= least[1]]
+
+
 def spanning(comp: np.ndarray, sketch: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Best spanning forest of a chunk: (i, j) of the strongest agreements of at least ``least`` that join components."""
     out: list[tuple[int, int]] = []
@@ -123,7 +134,7 @@ def spanning(comp: np.ndarray, sketch: np.ndarray, least: int) -> list[tuple[int
     return out
 
 
-def _forest(k: int, least: int):
+def _forest(k: int, least: tuple[int, int]):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -132,10 +143,10 @@ def _forest(k: int, least: int):
             sizes = np.diff(cuts)
             two = cuts[:-1][sizes == 2]
             two = two[comp[two] != comp[two + 1]]
-            two = two[(sketch[two] == sketch[two + 1]).sum(1) >= least]
+            two = two[(sketch[two] == sketch[two + 1]).sum(1) >= least[1]]
             a, b = [rep[two]], [rep[two + 1]]
             for lo, hi in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2]):
-                if found := spanning(comp[lo:hi], sketch[lo:hi], least):
+                if found := spanning(comp[lo:hi], sketch[lo:hi, :COARSE], least[0]):
                     found = np.array(found)
                     a.append(rep[lo + found[:, 0]])
                     b.append(rep[lo + found[:, 1]])
@@ -145,23 +156,28 @@ def _forest(k: int, least: int):
     return run
 
 
-def _cross(k: int, least: int):
-    """Movers of a list against the chunk's own rows of other components."""
+def _cross(k: int, least: tuple[int, int], percent: int):
+    """Movers of a list against the chunk's own rows of other components; a pair in its first common list only."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for (_, _, rep, comp, mover, own), sketch, cuts in _groups(batches):
-            sketch = _sketches(sketch, k)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for table, cuts in whole_groups(batches, 2):
+            token, _, rep, comp, mover, own, size = (c.to_numpy() for c in table.columns[:7])
+            lists, sketch = table.columns[7].combine_chunks(), _sketches(table.columns[8], k)
+            tokens, token_at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            a, b = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 here = lo + np.flatnonzero(own[lo:hi] == 1)
                 for i in lo + np.flatnonzero(mover[lo:hi] == 1):
                     near = here[(comp[here] != comp[i]) & ((mover[here] == 0) | (rep[here] > rep[i]))]
-                    near = near[(sketch[near] == sketch[i]).sum(1) >= least]
-                    a.append(np.full(len(near), rep[i]))
-                    b.append(rep[near])
-            a, b = np.concatenate(a), np.concatenate(b)
+                    near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
+                    mine = tokens[token_at[i] : token_at[i + 1]]
+                    for j in _agreeing(sketch[i], sketch, near, least):
+                        if np.intersect1d(mine, tokens[token_at[j] : token_at[j + 1]])[0] == token[i]:
+                            a.append(rep[i])
+                            b.append(rep[j])
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
@@ -200,7 +216,7 @@ def least_matches(n: int, p: float, miss: float = 1e-6) -> int:
     return n
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, coords: int = 32, sketch: int = 128, rounds: int = 2, chunk: int = 1024, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, coords: int = 32, sketch: int = 512, rounds: int = 2, chunk: int = 1024, seed: int = 7) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs; see the module's text for the method.
 
     Linked are texts whose shingle sets have a Jaccard similarity of at least percent / 100, each link
@@ -209,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     min_matches = max(1, least_matches(coords, percent / 100))
-    min_agree = least_matches(sketch, percent / 100)
+    agree = (least_matches(min(COARSE, sketch), percent / 100), least_matches(sketch, percent / 100))
     signed = stage(signatures(docs, id_col, text_col, width, coords, seed), "minhash-signatures")
     classes = stage(signed.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "minhash-classes")
 
@@ -222,7 +238,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted, "rep", "left_semi")
     sets = stage(_sets(rows, width, sketch, seed), "minhash-sets").dropDuplicates(["rep", "members"])
-    postings = stage(prefix.join(sets.select("rep", "sketch"), "rep").withColumn("home", F.xxhash64(F.lit(seed), "rep")), "minhash-posted")
+    tokens = prefix.groupBy("rep").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # one class has few
+    about = sets.select("rep", (F.octet_length("members") / 8).cast("long").alias("size"), "sketch").join(tokens, "rep")
+    postings = stage(about.withColumn("token", F.explode("tokens")).withColumn("home", F.xxhash64(F.lit(seed), "rep")), "minhash-posted")
     members = sets.select("rep", "members")
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
@@ -239,12 +257,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         here = here.join(open_lists.select("token", "main", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")), "token")
         if r < rounds:
             dealt = here.withColumn("part", F.pmod(F.xxhash64("home", F.lit(r)), "chunks")).repartition("token", "part").sortWithinPartitions("token", "part", "rep")
-            pairs = dealt.select("token", "part", "rep", "comp", "sketch").mapInArrow(_forest(sketch, min_agree), "a long, b long")
+            pairs = dealt.select("token", "part", "rep", "comp", "sketch").mapInArrow(_forest(sketch, agree), "a long, b long")
         else:
             here = here.withColumn("mover", (F.col("comp") != F.col("main")).cast("int")).withColumn("lives", F.pmod("home", "chunks"))
             every = F.when(F.col("mover") == 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.col("lives").cast("int")))
             dealt = here.withColumn("part", F.explode(every)).withColumn("own", (F.col("part") == F.col("lives")).cast("int")).repartition("token", "part").sortWithinPartitions("token", "part", "rep")
-            pairs = dealt.select("token", "part", "rep", "comp", "mover", "own", "sketch").mapInArrow(_cross(sketch, min_agree), "a long, b long")
+            pairs = dealt.select("token", "part", "rep", "comp", F.col("mover").cast("long").alias("mover"), F.col("own").cast("long").alias("own"), "size", "tokens", "sketch").mapInArrow(_cross(sketch, agree, percent), "a long, b long")
         if r:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         tried = tried.unionByName(confirmed(pairs, f"minhash-tried{r}"))
