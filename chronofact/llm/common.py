@@ -65,6 +65,20 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+#: Bytes of text that are hashed at once: working arrays are some fifty times as large.
+CHUNK_BYTES = 1 << 20
+
+
+def text_chunks(column, most: int = CHUNK_BYTES):
+    """(first row, end row, bytes, offsets) of consecutive rows of at most ``most`` bytes; a longer text comes alone."""
+    raw, at = text_buffers(column)
+    lo, n = 0, len(at) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+        yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        lo = hi
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the finaliser of the published SplitMix64 generator)."""
     with np.errstate(over="ignore"):

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import bounded_batches, components, mix64, stage, text_buffers, whole_groups
+from chronofact.llm.common import bounded_batches, components, mix64, stage, text_chunks, whole_groups
 from chronofact.llm.shingles import shingle_sets
 
 #: Ids that fit in a broadcast of a few MB; more are joined by a shuffle.
@@ -60,18 +60,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coords:
         import pyarrow as pa
 
         for batch in batches:
-            values, counts = shingle_sets(*text_buffers(batch.column(1)), width)
-            full = counts > 0
-            begin = (np.cumsum(counts) - counts)[full]
-            c1, c2 = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-            if len(begin):
-                with np.errstate(over="ignore"):
-                    c1[full] = np.add.reduceat(mix64(values), begin).view(np.int64)
-                    c2[full] = np.bitwise_xor.reduceat(mix64(values + np.uint64(seed * 2 + 1)), begin).view(np.int64)
-            sig = _minima(values, counts, coords, seed).view(np.int64)
-            at = np.concatenate([[0], np.cumsum(full * coords)]).astype(np.int32)
-            sig = pa.ListArray.from_arrays(pa.array(at), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(c1), pa.array(c2), pa.array(counts), sig], ["id", "c1", "c2", "n", "sig"])
+            for lo, hi, raw, at in text_chunks(batch.column(1)):
+                values, counts = shingle_sets(raw, at, width)
+                full = counts > 0
+                begin = (np.cumsum(counts) - counts)[full]
+                c1, c2 = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+                if len(begin):
+                    with np.errstate(over="ignore"):
+                        c1[full] = np.add.reduceat(mix64(values), begin).view(np.int64)
+                        c2[full] = np.bitwise_xor.reduceat(mix64(values + np.uint64(seed * 2 + 1)), begin).view(np.int64)
+                sig = _minima(values, counts, coords, seed).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(full * coords)]).astype(np.int32)
+                sig = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(c1), pa.array(c2), pa.array(counts), sig], ["id", "c1", "c2", "n", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, c1 long, c2 long, n long, sig array<long>")
 
@@ -83,11 +84,12 @@ def _sets(docs: DataFrame, width: int, k: int, seed: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            values, counts = shingle_sets(*text_buffers(batch.column(1)), width)
-            ends = np.cumsum(counts)
-            sketch = np.zeros((len(counts), k), np.uint8)
-            sketch[counts > 0] = mix64(_minima(values, counts, k, seed + 1)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], ["rep", "members", "sketch"])
+            for lo, hi, raw, at in text_chunks(batch.column(1)):
+                values, counts = shingle_sets(raw, at, width)
+                ends = np.cumsum(counts)
+                sketch = np.zeros((len(counts), k), np.uint8)
+                sketch[counts > 0] = mix64(_minima(values, counts, k, seed + 1)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([values[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], ["rep", "members", "sketch"])
 
     return docs.mapInArrow(run, "rep long, members binary, sketch binary")
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import bounded_batches, stage, text_buffers
+from chronofact.llm.common import bounded_batches, stage, text_chunks
 from chronofact.llm.shingles import words
 
 BITS = 20
@@ -48,18 +48,24 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(folds)) == 0, F.lit(False))
 
 
-def _presence(raw: np.ndarray, at: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) for each distinct feature of each text, sorted; only buckets of ``used`` if given."""
+def _presence(column, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) for each distinct feature of each text of an Arrow column, sorted; only buckets of ``used`` if given."""
+    found = [_features(raw, at, lo, used) for lo, _, raw, at in text_chunks(column)]
+    pairs = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+
+
+def _features(raw: np.ndarray, at: np.ndarray, first: int, used: np.ndarray | None) -> np.ndarray:
+    """(text << BITS) | bucket, distinct and sorted; texts are numbered from first."""
     whole, counts, *starts = words(raw, at, _SPLITS, PREFIXES)
-    doc = np.repeat(np.arange(len(counts)), counts)
+    doc = np.repeat(np.arange(first, first + len(counts)), counts)
     docs, buckets = [], []
     for h in (whole, *starts):
         bucket = (h >> np.uint64(64 - BITS)).astype(np.int64)
         keep = h != 0 if used is None else (h != 0) & used[bucket]
         docs.append(doc[keep])
         buckets.append(bucket[keep])
-    pairs = np.unique((np.concatenate(docs) << BITS) | np.concatenate(buckets))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    return np.unique((np.concatenate(docs) << BITS) | np.concatenate(buckets))
 
 
 def _frequencies(batches: Iterator) -> Iterator:
@@ -68,7 +74,7 @@ def _frequencies(batches: Iterator) -> Iterator:
     seen = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         positive = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        doc, bucket = _presence(*text_buffers(batch.column(0)))
+        doc, bucket = _presence(batch.column(0))
         for side in (0, 1):
             seen[side] += np.bincount(bucket[positive[doc] == bool(side)], minlength=1 << BITS)
     at = np.flatnonzero(seen.sum(0))
@@ -80,7 +86,7 @@ def _chosen(used: np.ndarray):
         import pyarrow as pa
 
         for batch in batches:
-            doc, bucket = _presence(*text_buffers(batch.column(0)), used)
+            doc, bucket = _presence(batch.column(0), used)
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], ["positive", "buckets"])
 
@@ -111,7 +117,7 @@ def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: in
 def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, features: int = 4096, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """Fits the scorer on rows that aren't held out. The prior is the labels' toxic rate there, if not given."""
     spark = docs.sparkSession
-    bounded_batches(spark, 1000)
+    bounded_batches(spark, 1000, 8)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(toxic_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     total, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
@@ -127,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, fea
     share = min(1.0, most_unlabelled / max(1, docs.count()))
     positives = texts.join(F.broadcast(chosen), "id").select("text", F.lit(True).alias("positive"))
     unlabelled = texts.where(F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1 << 30)) < int((1 << 30) * share)).select("text", F.lit(False).alias("positive"))
-    sample = stage(positives.unionByName(unlabelled), "toxicity-sample")
+    sample = stage(positives.unionByName(unlabelled).repartition(8), "toxicity-sample")  # bounded, so a few files
     n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return none
@@ -153,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, fea
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with score_col, from 0 to 1. Other columns pass through untouched."""
-    bounded_batches(docs.sparkSession, 1000)
+    bounded_batches(docs.sparkSession, 1000, 8)
     at = np.flatnonzero(model.weight)
     weights, bias = model.weight[at], model.bias
 
@@ -164,7 +170,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
         table = np.zeros(1 << BITS)
         table[at] = weights
-        doc, bucket = _presence(*text_buffers(pa.Array.from_pandas(text, type=pa.large_string())), table != 0)
+        doc, bucket = _presence(pa.Array.from_pandas(text, type=pa.large_string()), table != 0)
         g = np.bincount(doc, table[bucket], minlength=len(text)) + bias
         with np.errstate(over="ignore"):
             return pd.Series(1 / (1 + np.exp(-g)))
