@@ -6,13 +6,14 @@ executors see. A lost executor then costs a re-read, never a recomputation of wh
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofact.functions.staging import stage
+
+__all__ = ["ascii_lower", "bounded_batches", "components", "mix64", "stage", "text_buffers", "text_chunks", "whole_groups"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The bytes that count as white space in every contract here: x20 and x09 to x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,23 +22,6 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from the session; a temporary one only where it names none."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="chronofact-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and returns the written table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
     """Bounds what one Arrow batch brings to a Python worker, so that long texts can't fill its memory."""
     spark.conf.set(ARROW_ROWS, str(rows))
@@ -121,14 +105,18 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
 
     Every node first points at its smallest neighbour. Pointers are halved until all are stars; then
     each root hooks onto the smallest root next to it, and so on until no edge runs between two
-    roots. All state is a distributed table, staged in each step.
+    roots. All state is a distributed table, written down in each step.
     """
 
+    def halved(points: DataFrame) -> DataFrame:
+        onward = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        return points.join(onward, "root", "left").select("node", F.col("root").alias("was"), F.coalesce("next", "root").alias("root"))
+
     def stars(points: DataFrame) -> DataFrame:
         for _ in range(rounds):
-            onward = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            points = stage(points.select("node", "root").join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.coalesce(F.col("next") != F.col("root"), F.lit(False)).alias("moved")), f"{label}-roots")
-            if points.where("moved").isEmpty():
+            # two halvings a written table; without a move in the second all pointers reach their roots
+            points = stage(halved(halved(points.select("node", "root")).select("node", "root")), f"{label}-roots")
+            if points.where("was <> root").isEmpty():
                 return points.select("node", "root")
         raise RuntimeError(f"pointers of {label} did not settle in {rounds} rounds")
 
