@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.functions import boolexpr as B
+from chronofact.functions import types
 from chronofact.functions.staging import shared_dir
-from chronofact.operators import browse, constraints, derivation, snapshots
+from chronofact.operators import browse, config, constraints, derivation, snapshots
 from chronofact.plans.build import run
 from chronofact.plans.catalog import tables
 from chronofact.plans.driver import QUERIES, SQL, add
 from chronofact.sources.basis import Basis, visible
-from chronofact.sources.facts import FactTable
-from chronofact.sources.store import Assert, FactStore, Meta, Retract, dependency_state
+from chronofact.sources.facts import FactTable, Wanted
+from chronofact.sources.store import Assert, FactStore, Meta, Retract, dependency_state, pattern_column
+from chronofact.streaming import feed
 from chronofact.streaming.subscriptions import Subscriptions
 
 DAY = 86_400_000
@@ -169,4 +171,85 @@ add("journal_page", "SELECT 2::BIGINT AS position, 'b' AS actor, 'c' AS command_
 add("entity_timeline", "SELECT unnest([2, 1])::BIGINT AS position, unnest(['b', 'a']) AS actor", lambda spark, sf_dir: _store(spark).transactions_for_entity("p:1").select("position", "actor"))
 add("store_query", "SELECT unnest(['Anna', 'Bob']) AS name", lambda spark, sf_dir: _store(spark).query({"find": ["?name"], "where": [["?p", ":name", "?name"]]}, types={"?name": "string"}))
 
+
+
+# --- stores, validation, feed and browsing ---------------------------------------------------------------
+
+
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch read over a store that the nation table was ingested into."""
+    s = FactStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    s.ingest(wide(spark, sf_dir, "nation").select("entity_id", "attribute", "value_type", "value_string", "value_number", "entity_type"))
+    return s.entities(["nation:3", "nation:none", "nation:1"]).select("position", "entity_id", F.size("facts").alias("facts"))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = wide(spark, sf_dir, "nation")
+    return facts.where(pattern_column(attribute=":nation/regionkey", value={"type": "ref", "value": "region:2"})).select("entity_id")
+
+
+def _snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark)
+    states = snapshots.materialize(s.facts(), s.log())
+    first = states.where("entity_id = 'p:1' and position = 1")
+    return snapshots.diff(first, snapshots.current(states, "p:1")).select("attribute", "change")
+
+
+def _checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark)
+    c = feed.Checkpoints(s)
+    c.advance("reader", 0, 1)
+    c.advance("reader", 1, 2)
+    return _frame(spark, [("reader", c.get("reader"))], "consumer string, position long")
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change that the stream hands on, in one run over what is there."""
+    s = _store(spark)
+    out = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    feed.follow(s, lambda changes, n: changes.write.mode("append").parquet(f"{out}/rows"), f"{out}/state", available_now=True).awaitTermination(300)
+    return spark.read.parquet(f"{out}/rows").select("position", "op", "entity_id", "attribute")
+
+
+def _customer_type():
+    text, number = types.Prim("text"), types.Prim("number")
+    return config.EntityType("Customer", (config.Attribute(":customer/name", text, required=True), config.Attribute(":customer/acctbal", types.Constrained(number, (("min", 0),))), config.Attribute(":customer/mktsegment", types.Enum(("BUILDING", "MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"))), config.Attribute(":customer/nationkey", types.RefType("Nation"))))
+
+
+def _react(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which customers' segment rule must be decided again after changes to two of them."""
+    observed = wide(spark, sf_dir, "customer").where("attribute = ':customer/mktsegment'").select(F.lit("vip").alias("question"), F.col("entity_id").alias("subject"), F.col("entity_id").alias("entity"), "attribute")
+    changes = _frame(spark, [("customer:1", ":customer/mktsegment"), ("customer:2", ":customer/mktsegment"), ("customer:3", ":customer/name")], "entity_id string, attribute string")
+    return B.react(changes, observed)
+
+
+add("batch_entities", "SELECT unnest([0, 1, 2])::INTEGER AS position, unnest(['nation:3', 'nation:none', 'nation:1']) AS entity_id, unnest([2, 0, 2])::INTEGER AS facts", _batch)
+add("typed_match", "SELECT 'nation:' || n_nationkey AS entity_id FROM nation WHERE n_regionkey = 2", _typed)
+add("entity_type_scan", "SELECT count(*) * 5 AS n FROM part", lambda spark, sf_dir: FactTable(wide(spark, sf_dir, "part", "nation"), NOW).matching(Wanted(entity_type="Part")).agg(F.count(F.lit(1)).alias("n")))
+add("snapshot_diff", "SELECT ':name' AS attribute, 'changed' AS change", _snapshot_diff)
+add("consumer_checkpoint", "SELECT 'reader' AS consumer, 2::BIGINT AS position", _checkpoint)
+add("change_feed", "SELECT unnest([1, 1, 2, 2])::BIGINT AS position, unnest(['assert', 'assert', 'assert', 'retract']) AS op, unnest(['p:1', 'p:2', 'p:1', 'p:1']) AS entity_id, ':name' AS attribute", _feed)
+add("transaction_by_command", "SELECT 2::BIGINT AS position, 'b' AS actor", lambda spark, sf_dir: _store(spark).transaction_by_command("c").select("position", "actor"))
+add("corrected_past", "SELECT 'Ann' AS name UNION ALL SELECT 'Bob'", lambda spark, sf_dir: _store(spark).query({"find": ["?name"], "where": [["?p", ":name", "?name"]]}, Basis(recorded_position=1), {"?name": "string"}))
+add("entity_validation", "SELECT 'customer:' || c_custkey AS subject, ':customer/acctbal' AS path, 'schema' AS source FROM customer WHERE c_acctbal < 0", lambda spark, sf_dir: config.validate(wide(spark, sf_dir, "customer"), _customer_type(), NOW).select("subject", "path", "source"))
+add("reactor_affected", "SELECT 'vip' AS question, unnest(['customer:1', 'customer:2']) AS subject", _react)
+add("reflected_columns", "SELECT unnest([':part/name', ':part/brand', ':part/type', ':part/size', ':part/retailprice']) AS attribute, unnest(['string', 'string', 'string', 'number', 'number']) AS value_type", lambda spark, sf_dir: browse.reflected_columns(wide(spark, sf_dir, "part"), "Part"))
+add("rule_proofs", "SELECT 'customer:' || c_custkey AS subject, c_mktsegment = 'BUILDING' AS truth FROM customer", lambda spark, sf_dir: B.prove(wide(spark, sf_dir, "customer"), B.Rule("vip"), T, CATALOG, "Customer").select("subject", "truth"))
+add("json_values", "SELECT 'events:' || event_id AS e, props FROM events", lambda spark, sf_dir: run(tables(spark, sf_dir, "events"), {"find": ["?e", "?props"], "where": [["?e", ":events/props", "?props"]]}))
+add("events_valid_at", "SELECT event_type AS kind, count(DISTINCT event_id) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1", lambda spark, sf_dir: _events(spark, sf_dir))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events hold from their own time on."""
+    facts = wide(spark, sf_dir, "events")
+    times = facts.where("attribute = ':events/ts'").select("entity_id", F.col("value_datetime").alias("from"))
+    timed = facts.where("attribute = ':events/event_type'").join(times, "entity_id").withColumn("valid_from", F.col("from")).drop("from")
+    at = Basis(valid_at=1_705_276_800_000)
+    return run(FactTable(timed, at, {":events/event_type": "txt"}), {"find": ["?kind", "?n"], "where": [["?e", ":events/event_type", "?kind"]], "aggregate": [["count", "?e", "?n"]]}, {"?n": "bigint"})
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -294,6 +294,11 @@ class FactStore:
             return self.ingest(rows, meta)
         return Receipt(tx, position, instant, [], 0)
 
+    def compact(self, to: str) -> FactTable:
+        """A copy of all committed facts, clustered by (attribute, entity) so that a pattern reads few row groups."""
+        self.facts().repartitionByRange("attribute", "entity_id").sortWithinPartitions("attribute", "entity_id").write.parquet(to)
+        return FactTable(self.spark.read.schema(FACTS).parquet(to))
+
     def _publish(self, position: int, tx: str, instant: int, meta: Meta, quiet: bool) -> bool:
         entry = {"position": position, "tx_id": tx, "instant": instant, "command_id": meta.command_id, "quiet": quiet}
         return self.files.create(f"{self.root}/log/{position:020d}.json", json.dumps(entry) + "\n")
@@ -382,6 +387,12 @@ def pattern_column(entity=None, attribute=None, entity_type=None, value=None):
     return out
 
 
+def change_events(receipt: Receipt, ops: list) -> list[dict]:
+    """What a write tells listeners: who and what changed, without values."""
+    kinds = {Assert: "asserted", Retract: "retracted", RetractPattern: "retracted-pattern"}
+    return [{"event": kinds[type(o)], "tx": receipt.tx_id, "position": receipt.position, **{k: v for k in ("entity", "attribute", "entity_type", "triple_id") if (v := getattr(o, k, None)) is not None}} for o in ops]
+
+
 def refuse_reserved(o) -> None:
     entity, attribute, kind = getattr(o, "entity", None), getattr(o, "attribute", None), getattr(o, "entity_type", None)
     if (entity or "").startswith(RESERVED_ENTITIES) or (attribute or "").startswith(RESERVED_ATTRIBUTES) or kind in RESERVED_TYPES:
