@@ -32,7 +32,7 @@ PATTERN = re.compile(
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d))"
-    r"|(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]))"
+    r"|(?P<card>(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\11\d{4}\11\d{1,7}|\d{4}([ -])\d{6}\12\d{5})(?![\d-]))"
 )
 
 
@@ -163,13 +163,16 @@ class Pseudonymizer:
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of what was replaced, in the original's characters."""
         out, spans, done = [], [], 0
-        for m in PATTERN.finditer(text):
+        m = PATTERN.search(text)
+        while m:
             kind = m.lastgroup
             new = self.of(kind, m[0])
             if new is not None:
                 out += [text[done : m.start()], new]
                 spans.append(({"iso": "date", "day": "date"}.get(kind, kind), m.start(), m.end()))
                 done = m.end()
+            # what begins inside an invalid find may still be valid
+            m = PATTERN.search(text, m.end() if new is not None else m.start() + 1)
         return "".join([*out, text[done:]]), spans
 
 

@@ -129,6 +129,7 @@ def test_pseudonyms_keep_their_format():
     iso = date.fromisoformat(re.search(r"born (\S+),", new)[1])
     assert f"{iso:%d.%m.%Y}" in new
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4};", new) and re.search(r"mail [A-Za-z]{3}\.[a-z]\d@example\.org", new)
+    assert [k for k, _, _ in p.text("4111111111111111 10.0.0.1 3782 822463 10005 99 4111-1111-1111-1111")[1]] == ["card", "ip", "card", "card"]
     again, found = p.text(new)
     assert len(found) == len(spans) and again != new
 
