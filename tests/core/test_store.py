@@ -98,6 +98,13 @@ def test_retract_pattern_and_ingest(spark, store):
     assert store.query(NAME).count() == 50 and store.transactions().first()["actor"] == "bulk"
     assert store.retract_pattern(RetractPattern(attribute=":name", value="7")) == 1
     assert store.query(NAME).count() == 49
+    assert store.compact(f"{store.root}/compacted").at(Basis(valid_at=10**9)).visible().where("attribute = ':name'").count() == 49
+    from chronofact.sources.store import change_events
+
+    seen = []
+    store.listeners.append(lambda receipt, ops: seen.extend(change_events(receipt, ops)))
+    r = store.transact([Assert("p:99", ":name", "x", "Person")])
+    assert seen == [{"event": "asserted", "tx": r.tx_id, "position": r.position, "entity": "p:99", "attribute": ":name", "entity_type": "Person"}]
 
 
 def test_constraints_abort_only_what_gets_worse(store):
