@@ -100,6 +100,9 @@ def whole_groups(batches, keys: int):
         yield rest, np.array([0, rest.num_rows])
 
 
+ROWS_A_FILE = 500_000
+
+
 def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node, root the smallest.
 
@@ -115,17 +118,19 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     def stars(points: DataFrame) -> DataFrame:
         for _ in range(rounds):
             # two halvings a written table; without a move in the second all pointers reach their roots
-            points = stage(halved(halved(points.select("node", "root")).select("node", "root")), f"{label}-roots")
+            points = stage(halved(halved(points.select("node", "root")).select("node", "root")).coalesce(files), f"{label}-roots")
             if points.where("was <> root").isEmpty():
                 return points.select("node", "root")
         raise RuntimeError(f"pointers of {label} did not settle in {rounds} rounds")
 
     live = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
+    # no later table has more rows than twice the edges: files of a useful size, whatever the shuffle's partitions
+    files = 1 + live.count() // ROWS_A_FILE
     both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = stars(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
     for _ in range(rounds):
         live = live.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra <> rb")
-        live = stage(live.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{label}-live")
+        live = stage(live.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct().coalesce(files), f"{label}-live")
         if live.isEmpty():
             return roots
         hooks = live.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to"))
