@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofact.llm.common import stage
+
 #: A rate table up to so many sources is broadcast; a longer one is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -47,6 +49,7 @@ def poisson_mix(docs: DataFrame, *, weights: dict[str, float] | None = None, tem
     steps = steps.withColumn("logp", -F.col("__rate") + F.col("j") * F.log("__rate") - F.sum(F.log(F.greatest("j", F.lit(1)))).over(upto))
     steps = steps.withColumn("below", F.sum(F.exp("logp")).over(upto))
     table = steps.groupBy("__source").agg(F.sort_array(F.collect_list("below")).alias("__below"))
+    table = stage(table, "mix-rates")  # counted and joined without a second scan of the texts
     table = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
 
     ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
