@@ -22,7 +22,7 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
     """Bounds what one Arrow batch brings to a Python worker, so that long texts can't fill its memory."""
     spark.conf.set(ARROW_ROWS, str(rows))
     spark.conf.set(ARROW_BYTES, str(mb << 20))

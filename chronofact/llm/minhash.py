@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         left, right = members.toDF("a", "x"), members.toDF("b", "y")
-        bounded_batches(spark, 256, 32)
+        bounded_batches(spark, 256, 8)
         return stage(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, ok boolean"), label)
 
     roots = spark.createDataFrame([], "node long, root long")

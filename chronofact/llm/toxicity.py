@@ -117,7 +117,7 @@ def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: in
 def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, features: int = 4096, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """Fits the scorer on rows that aren't held out. The prior is the labels' toxic rate there, if not given."""
     spark = docs.sparkSession
-    bounded_batches(spark, 1000, 8)
+    bounded_batches(spark)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(toxic_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     total, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, fea
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with score_col, from 0 to 1. Other columns pass through untouched."""
-    bounded_batches(docs.sparkSession, 1000, 8)
+    bounded_batches(docs.sparkSession)
     at = np.flatnonzero(model.weight)
     weights, bias = model.weight[at], model.bias
 
