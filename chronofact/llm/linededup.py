@@ -79,7 +79,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.where("doc is not null").select("doc", "th", F.posexplode("lines").alias("pos", "line"))
     key = F.btrim(ascii_lower(F.col("line")), F.lit(BLANKS))
     rows = rows.select("doc", "th", "pos", key.alias("key")).where(F.char_length("key") >= min_length)
-    rows = rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "th", "pos")
+    # written once: the range bounds are sampled from it, not from the texts
+    rows = stage(rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "th", "pos"), "line-keys")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, "h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
     seen = stage(dealt.mapInArrow(_first_occurrences, "h1 long, h2 long, doc long, th long, pos int, kind int"), "lines")
@@ -96,7 +97,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_text") -> DataFrame:
     """docs with out_col, the text without the lines that its bitmap drops. Other columns stay as they are."""
     spark = docs.sparkSession
-    bounded_batches(spark, 1000)
+    bounded_batches(spark)
     marked = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     # documents that lose nothing need no bitmap; a null id never has one
     some = bitmaps.where("n_dropped > 0").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__th"), F.col("keep").alias("__keep"))
