@@ -91,6 +91,7 @@ def hilbert_shards(docs: DataFrame, dims: list[str], *, shards: int = 8, bits: i
         F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
         *((size.cast("double") if d == "size" else _ordinal(F.col(d), kinds[d])).alias(f"dim{i}") for i, d in enumerate(dims)),
     )
+    flat = stage(flat, "curve-rows")  # the only scan of the texts
     # at most (2^bits - 1) numbers a dimension come to the driver
     ends = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = flat.agg(*(F.percentile_approx(f"dim{i}", ends, 2000).alias(f"dim{i}") for i in range(len(dims)))).first()
