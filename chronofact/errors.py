@@ -61,3 +61,7 @@ class ConfigError(ChronofactError):
 
 class DerivationError(ChronofactError):
     pass
+
+
+class StagingError(ChronofactError):
+    pass
