@@ -6,13 +6,15 @@ executors see. A lost executor then costs a re-read, never a recomputation of wh
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.functions.staging import stage
+from chronofact.functions.staging import discard, stage
 
-__all__ = ["ascii_lower", "bounded_batches", "components", "mix64", "stage", "text_buffers", "text_chunks", "whole_groups"]
+__all__ = ["arrow_batches", "ascii_lower", "components", "discard", "mix64", "packed_row", "stage", "text_buffers", "text_chunks", "whole_groups"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The bytes that count as white space in every contract here: x20 and x09 to x0D.
@@ -22,10 +24,26 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
-    """Bounds what one Arrow batch brings to a Python worker, so that long texts can't fill its memory."""
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000, mb: int = 4):
+    """Smaller Arrow batches for the actions inside, the session's own again after it.
+
+    Saves memory only. What bounds a worker's working arrays is that it cuts its batches itself, so a plan
+    that runs later under the session's own limits is safe as well.
+    """
+    before = {k: spark.conf.get(k) for k in (ARROW_ROWS, ARROW_BYTES)}
     spark.conf.set(ARROW_ROWS, str(rows))
     spark.conf.set(ARROW_BYTES, str(mb << 20))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own columns can't clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -49,7 +67,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-#: Bytes of text that are hashed at once: working arrays are some fifty times as large.
+#: Bytes of text that are hashed at once: working arrays are some thirty times as large.
 CHUNK_BYTES = 1 << 20
 
 
@@ -108,7 +126,7 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
 
     Every node first points at its smallest neighbour. Pointers are halved until all are stars; then
     each root hooks onto the smallest root next to it, and so on until no edge runs between two
-    roots. All state is a distributed table, written down in each step.
+    roots. All state is a distributed table, written down in each step; what a step replaces is deleted.
     """
 
     def halved(points: DataFrame) -> DataFrame:
@@ -116,23 +134,35 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
         return points.join(onward, "root", "left").select("node", F.col("root").alias("was"), F.coalesce("next", "root").alias("root"))
 
     def stars(points: DataFrame) -> DataFrame:
+        """points, written; its input may be discarded afterwards."""
+        last = None
         for _ in range(rounds):
             # two halvings a written table; without a move in the second all pointers reach their roots
-            points = stage(halved(halved(points.select("node", "root")).select("node", "root")).coalesce(files), f"{label}-roots")
+            points = stage(halved(halved(points.select("node", "root")).select("node", "root")), f"{label}-roots", files)
+            if last is not None:
+                discard(last)
+            last = points
             if points.where("was <> root").isEmpty():
-                return points.select("node", "root")
+                return points
         raise RuntimeError(f"pointers of {label} did not settle in {rounds} rounds")
 
-    live = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
-    # no later table has more rows than twice the edges: files of a useful size, whatever the shuffle's partitions
+    # no table here has more rows than twice the edges: files of a useful size, whatever the shuffle's partitions
+    distinct = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    live = stage(distinct, f"{label}-edges", edges.sparkSession.sparkContext.defaultParallelism)
     files = 1 + live.count() // ROWS_A_FILE
     both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = stars(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
     for _ in range(rounds):
-        live = live.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra <> rb")
-        live = stage(live.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct().coalesce(files), f"{label}-live")
+        pairs = roots.select("node", "root")
+        rest = live.join(pairs.toDF("a", "ra"), "a").join(pairs.toDF("b", "rb"), "b").where("ra <> rb")
+        rest = stage(rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{label}-live", files)
+        discard(live)
+        live = rest
         if live.isEmpty():
-            return roots
+            discard(live)
+            return pairs
         hooks = live.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to"))
-        roots = stars(roots.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        moved = stars(pairs.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        discard(roots)
+        roots = moved
     raise RuntimeError(f"components of {label} did not settle in {rounds} rounds")

@@ -14,9 +14,18 @@
    missed, and pairs within a component need no look. A pair that several lists bring together is
    handed on by the first of them only.
 
+Sets are compared by the shingles' 64-bit hashes, equal sets told by 128 bits.
+
+``search="shingles"`` is the exact way for who can't accept that a pair at the threshold is missed with a
+probability of about 1e-6: postings are then the rarest shingles of each set, of which two sets at the
+threshold must share one, and no sketch rules a pair out.
+
+Tokens that many classes share are joined by a broadcast of the few that are so frequent, all others by a
+shuffle, and their lists are dealt in chunks: no task gets a token's whole list.
+
 Rows with a null id take no part in linking. A repeated id counts once, with all its texts. Null and
 empty texts and texts without words have an empty set and link with nothing. Order and number of
-partitions don't matter; equal inputs give equal results.
+partitions don't matter; equal inputs give equal results. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +37,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import bounded_batches, components, mix64, stage, text_chunks, whole_groups
+from chronofact.llm.common import arrow_batches, components, discard, mix64, stage, text_chunks, whole_groups
 from chronofact.llm.shingles import shingle_sets
 
-#: Ids that fit in a broadcast of a few MB; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Ids are broadcast while they take so many bytes at most (32 each in a hash table); more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Tokens with more than this share of all postings are fewer than its inverse: a bounded broadcast.
+HOT_SHARE = 10_000
 
 
 def _multipliers(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +65,6 @@ def _minima(values: np.ndarray, counts: np.ndarray, k: int, seed: int) -> np.nda
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coords: int, seed: int) -> DataFrame:
     """(id, c1, c2, n, sig): the class key of the shingle set, its size, its signature (null if empty)."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -74,7 +84,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coords:
                 sig = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(c1), pa.array(c2), pa.array(counts), sig], ["id", "c1", "c2", "n", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, c1 long, c2 long, n long, sig array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "id long, c1 long, c2 long, n long, sig array<long>")
 
 
 def _sets(docs: DataFrame, width: int, k: int, seed: int) -> DataFrame:
@@ -218,45 +228,81 @@ def least_matches(n: int, p: float, miss: float = 1e-6) -> int:
     return n
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, coords: int = 32, sketch: int = 512, rounds: int = 2, chunk: int = 1024, seed: int = 7) -> DataFrame:
+def _by_token(rows: DataFrame, table: DataFrame, many: str, above: int) -> DataFrame:
+    """rows joined with table (one row a token): frequent tokens by broadcast, the others by a shuffle."""
+    hot = F.broadcast(table.where(F.col(many) > above))
+    return rows.join(hot, "token").unionByName(rows.join(hot.select("token"), "token", "left_anti").join(table.where(F.col(many) <= above), "token"))
+
+
+def _shingles(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        for rep, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+            values = np.frombuffer(members.as_buffer(), np.int64)
+            for lo in range(0, len(values), 100_000):
+                part = values[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep)), pa.array(part)], ["rep", "token"])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, coords: int = 32, sketch: int = 512, rounds: int = 2, chunk: int = 1024, seed: int = 7, search: str = "coordinates") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs; see the module's text for the method.
 
     Linked are texts whose shingle sets have a Jaccard similarity of at least percent / 100, each link
     confirmed on the full sets. The candidate search asks for as many agreeing coordinates as a pair
-    at the threshold falls short of with a probability of 1e-6 at most.
+    at the threshold falls short of with a probability of 1e-6 at most; search="shingles" misses none.
     """
+    if search not in ("coordinates", "shingles"):
+        raise ValueError(f"search is coordinates or shingles, not {search}")
     spark = docs.sparkSession
+    exact = search == "shingles"
     min_matches = max(1, least_matches(coords, percent / 100))
-    agree = (least_matches(min(COARSE, sketch), percent / 100), least_matches(sketch, percent / 100))
-    signed = stage(signatures(docs, id_col, text_col, width, coords, seed), "minhash-signatures")
+    agree = (0, 0) if exact else (least_matches(min(COARSE, sketch), percent / 100), least_matches(sketch, percent / 100))
+    with arrow_batches(spark):
+        signed = stage(signatures(docs, id_col, text_col, width, coords, seed), "minhash-signatures")
     classes = stage(signed.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "minhash-classes")
 
-    posted = classes.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("token"))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    ranked = posted.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("lists")).where(F.size("lists") >= min_matches)
-    prefix = stage(ranked.select("rep", F.explode(F.expr(f"slice(lists, 1, size(lists) - {min_matches - 1})")).alias("x")).select("rep", "x.token"), "minhash-postings")
-
-    reps = prefix.select("rep").distinct()
-    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted, "rep", "left_semi")
-    sets = stage(_sets(rows, width, sketch, seed), "minhash-sets").dropDuplicates(["rep", "members"])
+    def sets_of(reps: DataFrame) -> DataFrame:
+        wanted = F.broadcast(reps) if reps.count() * 32 <= BROADCAST_BYTES else reps
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text")).join(wanted, "rep", "left_semi")
+        with arrow_batches(spark):
+            return stage(_sets(rows, width, sketch, seed), "minhash-sets")
+
+    sets = sets_of(classes.select("rep").distinct()) if exact else None
+    posted = sets.select("rep", "members").mapInArrow(_shingles, "rep long, token long") if exact else classes.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("token"))
+    counted = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
+    shared = stage(counted if exact else counted.where("many > 1"), "minhash-tokens")
+    total = shared.agg(F.sum("many")).first()[0] or 0
+    above = max(1000, total // HOT_SHARE)
+    ranked = _by_token(posted, shared, "many", above).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("lists"))
+    if exact:
+        first = F.expr(f"filter(slice(lists, 1, cast(size(lists) - ceil(size(lists) * {percent} / 100D) + 1 as int)), x -> x.many > 1)")
+    else:
+        ranked, first = ranked.where(F.size("lists") >= min_matches), F.expr(f"slice(lists, 1, size(lists) - {min_matches - 1})")
+    prefix = stage(ranked.select("rep", F.explode(first).alias("x")).select("rep", "x.token"), "minhash-postings")
+    sets = sets or sets_of(prefix.select("rep").distinct())
+
+    members = sets.dropDuplicates(["rep", "members"])
     tokens = prefix.groupBy("rep").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # one class has few
-    about = sets.select("rep", (F.octet_length("members") / 8).cast("long").alias("size"), "sketch").join(tokens, "rep")
+    about = members.select("rep", (F.octet_length("members") / 8).cast("long").alias("size"), "sketch").join(tokens, "rep")
     postings = stage(about.withColumn("token", F.explode("tokens")).withColumn("home", F.xxhash64(F.lit(seed), "rep")), "minhash-posted")
-    members = sets.select("rep", "members")
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        left, right = members.toDF("a", "x"), members.toDF("b", "y")
-        bounded_batches(spark, 256, 8)
-        return stage(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, ok boolean"), label)
+        left, right = members.select(F.col("rep").alias("a"), F.col("members").alias("x")), members.select(F.col("rep").alias("b"), F.col("members").alias("y"))
+        both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        with arrow_batches(spark, 256, 8):
+            return stage(both.mapInArrow(_confirm(percent), "a long, b long, ok boolean"), label, cores)
 
+    cores = spark.sparkContext.defaultParallelism
     roots = spark.createDataFrame([], "node long, root long")
+    done: list[DataFrame] = []
     tried = spark.createDataFrame([], "a long, b long, ok boolean")
     for r in range(rounds + 1):
         here = postings.join(roots.toDF("rep", "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
         by = here.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("many"))
-        open_lists = by.groupBy("token").agg(F.sum("many").alias("rows"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("many", "comp")).alias("main")).where("comps > 1")
-        here = here.join(open_lists.select("token", "main", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")), "token")
+        lists = by.groupBy("token").agg(F.sum("many").alias("rows"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("many", "comp")).alias("main")).where("comps > 1")
+        lists = stage(lists.select("token", "rows", "main", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")), "minhash-lists", cores)
+        here = _by_token(here, lists, "rows", above)
         if r < rounds:
             dealt = here.withColumn("part", F.pmod(F.xxhash64("home", F.lit(r)), "chunks")).repartition("token", "part").sortWithinPartitions("token", "part", "rep")
             pairs = dealt.select("token", "part", "rep", "comp", "sketch").mapInArrow(_forest(sketch, agree), "a long, b long")
@@ -267,8 +313,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = dealt.select("token", "part", "rep", "comp", F.col("mover").cast("long").alias("mover"), F.col("own").cast("long").alias("own"), "size", "tokens", "sketch").mapInArrow(_cross(sketch, agree, percent), "a long, b long")
         if r:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = tried.unionByName(confirmed(pairs, f"minhash-tried{r}"))
+        done += [lists, confirmed(pairs, f"minhash-tried{r}")]
+        tried = tried.unionByName(done[-1])
         roots = components(tried.where("ok").select("a", "b"), "minhash")
+    discard(shared, prefix, sets, postings, *done)
 
     table = classes.select("c1", "c2", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("c1", "c2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("id", "n", "c1", "c2").join(table, ["c1", "c2"], "left")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import bounded_batches, components, stage, whole_groups
+from chronofact.llm.common import components, stage, whole_groups
 from chronofact.llm.topk import _rows
 
 #: Most reference points, whatever the number of vectors.
@@ -128,7 +128,6 @@ def _link(least: float):
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, nearest: int = 5, block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors: links of cosine >= least among equal labels."""
     spark = vectors.sparkSession
-    bounded_batches(spark, 2048)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = "vec_id is not null and label is not null and size(v) > 0 and not exists(v, c -> c is null or isnan(c) or abs(c) = double('infinity')) and exists(v, c -> c <> 0)"
     classes = rows.where(sound).distinct().groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))

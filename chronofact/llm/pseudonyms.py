@@ -20,8 +20,6 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import bounded_batches
-
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 PATTERN = re.compile(
@@ -178,7 +176,6 @@ class Pseudonymizer:
 
 def pseudonymize(docs: DataFrame, key: bytes, *, text_col: str = "text", out_col: str = "pseudonymized") -> DataFrame:
     """docs with out_col: struct(text, spans array<struct(kind, start, end)>)."""
-    bounded_batches(docs.sparkSession)
     schema = "text string, spans array<struct<kind: string, start: int, end: int>>"
 
     @F.pandas_udf(schema)

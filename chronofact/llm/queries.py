@@ -40,11 +40,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    bitmaps = linededup.keep_bitmaps(docs)
-    kept = linededup.apply_bitmaps(docs, bitmaps).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.sha2(F.encode(F.coalesce("kept_text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
-    counts = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash"), "n_lines", "n_dropped")
-    same = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash"))
-    return kept.join(counts, same).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    kept = linededup.apply_bitmaps(docs, linededup.losses(docs), counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("kept_text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ Features are the presence of words and of word beginnings (letters and digits, A
 2^20 buckets; the buckets that positives hold more often than unlabelled texts are kept. Scoring reads every
 whole text once, in numpy over Arrow batches. Nothing but the text enters a score.
 
-Without positives every score is the prior, 0 if there are no labels. Null and empty texts have no features
-and get the score of the bias. Repeated rows get equal scores; duplicate labels count once; a document
-labelled both ways counts as toxic.
+Without texts of confirmed positives, or without other texts, nothing can be learned and every score is 0.
+Null and empty texts have no features and get the score of the bias. Repeated rows get equal scores;
+duplicate labels count once; a document labelled both ways counts as toxic. Of documents with one id the one
+whose text sorts first may be a training row, so a repeated id doesn't enlarge the sample. A text is read in
+windows: a long one costs its words, not a multiple of its bytes.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import bounded_batches, stage, text_chunks
+from chronofact.llm.common import arrow_batches, stage, text_chunks
 from chronofact.llm.shingles import words
 
 BITS = 20
@@ -117,8 +120,7 @@ def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: in
 def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, features: int = 4096, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """Fits the scorer on rows that aren't held out. The prior is the labels' toxic rate there, if not given."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(toxic_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{toxic_col}`").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     total, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     none = Model(np.zeros(1 << BITS), float("-inf"))
@@ -129,11 +131,13 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, fea
     # samples by hash: bounded whatever the tables' sizes
     draw = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30))
     chosen = known.where("toxic = 1").where(draw < int((1 << 30) * min(1.0, most_positive / toxic))).select("id", F.lit(True).alias("positive"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").where(~held_out(F.col("id")))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null").where(~held_out(F.col("id")))
     share = min(1.0, most_unlabelled / max(1, docs.count()))
-    positives = texts.join(F.broadcast(chosen), "id").select("text", F.lit(True).alias("positive"))
-    unlabelled = texts.where(F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1 << 30)) < int((1 << 30) * share)).select("text", F.lit(False).alias("positive"))
-    sample = stage(positives.unionByName(unlabelled).repartition(8), "toxicity-sample")  # bounded, so a few files
+    # the broadcast has most_positive ids
+    positives = texts.join(F.broadcast(chosen), "id").select("id", "text", F.lit(True).alias("positive"))
+    unlabelled = texts.where(F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1 << 30)) < int((1 << 30) * share)).select("id", "text", F.lit(False).alias("positive"))
+    each = positives.unionByName(unlabelled).groupBy("id", "positive").agg(F.min("text").alias("text"))
+    sample = stage(each.select("text", "positive"), "toxicity-sample", 8)  # bounded, so a few files
     n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return none
@@ -146,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, fea
     used = np.zeros(1 << BITS, bool)
     used[best] = True
     # at most features numbers a sampled row
-    got = sample.mapInArrow(_chosen(used), "positive boolean, buckets array<int>").toArrow()
+    with arrow_batches(spark):
+        got = sample.mapInArrow(_chosen(used), "positive boolean, buckets array<int>").toArrow()
     lists = got.column("buckets").combine_chunks()
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     place = np.zeros(1 << BITS, np.int64)
@@ -159,20 +164,19 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, fea
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with score_col, from 0 to 1. Other columns pass through untouched."""
-    bounded_batches(docs.sparkSession)
     at = np.flatnonzero(model.weight)
     weights, bias = model.weight[at], model.bias
 
-    @F.pandas_udf("double")
-    def of(text):
-        import pandas as pd
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import pyarrow as pa
 
-        table = np.zeros(1 << BITS)
+        table = np.zeros(1 << BITS)  # once a task
         table[at] = weights
-        doc, bucket = _presence(pa.Array.from_pandas(text, type=pa.large_string()), table != 0)
-        g = np.bincount(doc, table[bucket], minlength=len(text)) + bias
-        with np.errstate(over="ignore"):
-            return pd.Series(1 / (1 + np.exp(-g)))
-
-    return docs.withColumn(score_col, of(F.col(text_col).cast("string")))
+        used = table != 0
+        for text in texts:
+            doc, bucket = _presence(pa.Array.from_pandas(text, type=pa.large_string()), used)
+            g = np.bincount(doc, table[bucket], minlength=len(text)) + bias
+            with np.errstate(over="ignore"):
+                yield pd.Series(1 / (1 + np.exp(-g)))
+
+    return docs.withColumn(score_col, F.pandas_udf(of, "double")(F.col(f"`{text_col}`").cast("string")))
