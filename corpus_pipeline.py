@@ -6,40 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.llm import linededup, minhash, mixing, packing, toxicity
-from chronofact.llm.common import stage
+from chronofact.llm.common import discard, packed_row, stage
 
-#: Ids that fit in a broadcast of a few MB; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: What is left out is broadcast while it takes so many bytes at most (32 an entry); else it is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def _own(docs: DataFrame) -> list:
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity scorer gives less than one half."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, score_col="__score").where(F.col("__score") < 0.5).select(*docs.columns)
+    rows = docs.select(F.col("text"), packed_row(docs))
+    return toxicity.score(rows, model, score_col="score").where("score < 0.5").select(*_own(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without lines that an earlier document holds; n_chars follows the text."""
-    cut = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs), out_col="__kept")
-    size = {"n_chars": F.char_length("__kept").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
-    return cut.withColumns({**size, "text": F.col("__kept")}).select(*docs.columns)
+    cut = linededup.apply_bitmaps(docs, linededup.losses(docs), out_col="text")
+    return cut.select(*((F.char_length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; one row of a repeated id."""
-    judged = stage(minhash.near_duplicates(docs, percent=80).where("id is not null").groupBy("id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "near-judged")
-    away = judged.where("not kept").select(F.col("id").alias("doc_id"))
-    away = F.broadcast(away) if away.count() <= BROADCAST_IDS else away
-    rest = docs.join(away, "doc_id", "left_anti")
-    again = judged.where("kept and rows > 1").select(F.col("id").alias("doc_id"))
-    if not again.isEmpty():
-        rest = rest.join(again, "doc_id", "left_anti").unionByName(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return rest.select(*docs.columns)
+    """One document of each group of near duplicates, the one with the smallest id. Documents without an id stay.
+
+    Rows are judged, not ids: two texts under one id are two documents. Of equal rows the one that stands first
+    in the written table stays.
+    """
+    # a row's key is fixed by writing it down
+    keyed = stage(docs.select(F.monotonically_increasing_id().alias("key"), packed_row(docs)), "near-rows")
+    named = keyed.where("row.doc_id is not null").select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    judged = minhash.near_duplicates(named, id_col="key", percent=80).select(F.col("id").alias("key"), "component_id")
+    judged = judged.join(named.select("key", "doc_id"), "key")
+    best = judged.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("component_id", F.col("best.key").alias("stays"))
+    away = stage(judged.join(best, "component_id").where("key <> stays").select("key"), "near-away", spark.sparkContext.defaultParallelism)
+    away = F.broadcast(away) if away.count() * 32 <= BROADCAST_BYTES else away
+    return keyed.join(away, "key", "left_anti").select(*_own(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources have shares after the square root of their size, in random order."""
-    return mixing.poisson_mix(docs).select(*docs.columns)
+    return mixing.poisson_mix(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +64,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
