@@ -5,10 +5,14 @@ dates, octets of IPv4 addresses, area rules of social security numbers, digit co
 then permuted by a keyed Feistel network within its own format: a card number becomes a card number with a
 valid check digit, a date a date, separators stay where they are. The permutation depends on key, kind and
 value only, so equal values stay equal across documents, whatever their separators, and different ones differ.
-Nothing is stored and no table is shared between tasks.
+A telephone number keeps its country code, a mail address its top-level domain; name and host are permuted
+apart, so addresses of one host stay together. Nothing is stored and no table is shared between tasks.
+
+Only texts with two digits in a row, a digit, a dot and a digit, or an @ go to Python, and there only their
+words with digits or an @, with the words next to them that a number in groups may go on in.
 
 Null texts stay null and have no findings; empty texts stay empty. Texts are read whole. Repeated rows get equal
-results. Other columns aren't touched.
+results. Other columns aren't touched; one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -24,15 +28,22 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 PATTERN = re.compile(
     r"(?P<mail>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<iso>(?<![\d-])(?:19|20)\d\d([-/.])\d\d\4\d\d(?![\d-]))"
-    r"|(?P<day>(?<![\d./-])\d{1,2}([-/.])\d{1,2}\6(?:19|20)\d\d(?![\d-]))"
-    r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d))"
-    r"|(?P<card>(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\11\d{4}\11\d{1,7}|\d{4}([ -])\d{6}\12\d{5})(?![\d-]))"
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<iso>(?<![0-9-])(?:19|20)[0-9][0-9]([-/.])[0-9][0-9]\4[0-9][0-9](?![0-9-]))"
+    r"|(?P<day>(?<![0-9./-])[0-9]{1,2}([-/.])[0-9]{1,2}\6(?:19|20)[0-9][0-9](?![0-9-]))"
+    r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
+    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]))"
+    r"|(?P<card>(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\11[0-9]{4}\11[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\12[0-9]{5})(?![0-9-]))"
 )
 
+#: Words that hold an @ or a digit, and what may follow in the same number: more of them, or groups of capitals.
+WINDOW = re.compile(r"(?<!\S)[^\s@0-9]*+[@0-9]\S*+(?: (?:[^\s@0-9]*+[@0-9]\S*+|[A-Z]{1,4}(?!\S)))*+")
+#: The same for the JVM, wider: texts without such a place can't hold a find.
+WORTH = r"@|\d\d|\d\.\d"
+#: The two-digit country codes of the telephone numbering plan; 1 and 7 are single, all others have three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
 
 class Feistel:
     """Keyed permutations of [0, n): eight balanced rounds over the next even number of bits, walking cycles."""
@@ -96,10 +107,11 @@ class Pseudonymizer:
         return _into(s, body + luhn_digit(body), str.isdigit)
 
     def _phone(self, s: str) -> str | None:
-        country = re.match(r"\+\d{1,3}(?=[ .(-])", s)
-        head = country[0] if country else ""
-        d = re.sub(r"\D", "", s[len(head) :])
-        return head + _into(s[len(head) :], self.digits("phone", d), str.isdigit) if 7 <= len(d) <= 14 else None
+        d = re.sub(r"\D", "", s)
+        code = 0 if s[0] != "+" else 1 if d[0] in "17" else 2 if d[:2] in TWO_DIGITS else 3
+        if not 7 <= len(d) - code <= 14:
+            return None
+        return _into(s, d[:code] + self.digits("phone", d[code:]), str.isdigit)
 
     def _ssn(self, s: str) -> str | None:
         area, group, serial = int(s[:3]), int(s[4:6]), int(s[7:])
@@ -144,33 +156,40 @@ class Pseudonymizer:
         d = self._date(int(year), int(a), int(b))
         return d and f"{d.month:02d}{sign}{d.day:02d}{sign}{d.year:04d}"
 
-    def _mail(self, s: str) -> str | None:
-        local, domain = s.rsplit("@", 1)
-        letters = [c for c in local if c.isalpha()]
+    def word(self, kind: str, s: str) -> str:
+        """Letters and digits permuted, each among themselves; other signs stay."""
+        letters = [c for c in s if c.isalpha()]
         n = 0
         for c in letters:
             n = n * 26 + ord(c.lower()) - 97
         word = []
-        n = self.net.permute(n, 26 ** len(letters), f"mail{len(letters)}") if letters else 0
+        n = self.net.permute(n, 26 ** len(letters), f"{kind}{len(letters)}") if letters else 0
         for _ in letters:
             n, c = divmod(n, 26)
             word.append(chr(97 + c))
-        local = _into(local, "".join(reversed(word)), str.isalpha)
-        return _into(local, self.digits("mail", re.sub(r"\D", "", local)), str.isdigit) + "@" + domain
+        out = _into(s, "".join(reversed(word)), str.isalpha)
+        return _into(out, self.digits(kind, re.sub(r"\D", "", s)), str.isdigit)
+
+    def _mail(self, s: str) -> str | None:
+        local, domain = s.rsplit("@", 1)
+        host, top = domain.rsplit(".", 1)
+        return f"{self.word('mail', local)}@{self.word('host', host)}.{top}"
 
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of what was replaced, in the original's characters."""
         out, spans, done = [], [], 0
-        m = PATTERN.search(text)
-        while m:
-            kind = m.lastgroup
-            new = self.of(kind, m[0])
-            if new is not None:
-                out += [text[done : m.start()], new]
-                spans.append(({"iso": "date", "day": "date"}.get(kind, kind), m.start(), m.end()))
-                done = m.end()
-            # what begins inside an invalid find may still be valid
-            m = PATTERN.search(text, m.end() if new is not None else m.start() + 1)
+        for window in WINDOW.finditer(text):
+            end = window.end()
+            m = PATTERN.search(text, window.start(), end)
+            while m:
+                kind = m.lastgroup
+                new = self.of(kind, m[0])
+                if new is not None:
+                    out += [text[done : m.start()], new]
+                    spans.append(({"iso": "date", "day": "date"}.get(kind, kind), m.start(), m.end()))
+                    done = m.end()
+                # what begins inside an invalid find may still be valid
+                m = PATTERN.search(text, m.end() if new is not None else m.start() + 1, end)
         return "".join([*out, text[done:]]), spans
 
 
@@ -186,4 +205,8 @@ def pseudonymize(docs: DataFrame, key: bytes, *, text_col: str = "text", out_col
         rows = [names.text(t) if t is not None else (None, []) for t in text]
         return pd.DataFrame({"text": [r[0] for r in rows], "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in r[1]] for r in rows]})
 
-    return docs.withColumn(out_col, of(F.col(text_col).cast("string")))
+    text = F.col(f"`{text_col}`").cast("string")
+    worth = text.rlike(WORTH)
+    found = of(F.when(worth, text))
+    as_is = F.struct(text.alias("text"), F.array().cast("array<struct<kind: string, start: int, end: int>>").alias("spans"))
+    return docs.withColumn(out_col, F.when(worth, found).otherwise(as_is))

@@ -50,7 +50,7 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secrets.train(secrets.labelled_findings(spark))
+    forest = secrets.train(secrets.all_findings(spark))
     found = secrets.scan(_table(spark, sf_dir, "documents"), forest)
     return found.select("doc_id", "ordinal", F.char_length("candidate").alias("length"), F.substring("candidate", 1, 4).alias("head"), F.sha2("candidate", 256).alias("candidate_sha256"), "score")
 
@@ -112,4 +112,20 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.y) AS component_id, n.doc_id = min(r.y) AS kept
 FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op10_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+m AS (SELECT vec_id, label, e, list_max(list_transform(e, lambda x: abs(x))) AS most FROM v),
+s AS (SELECT vec_id, label, list_transform(list_zip(e, list_transform(e, lambda x: most)), lambda p: p[1] / p[2]) AS c FROM m),
+u AS (SELECT *, sqrt(list_dot_product(c, c)) AS n FROM s),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.c) = len(b.c) AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.c) = len(b.c) THEN list_dot_product(a.c, b.c) / (a.n * b.n) END >= 0.98),
+k AS (SELECT a, count(DISTINCT b) AS links FROM l GROUP BY a),
+r AS (SELECT vec_id AS x, vec_id AS y FROM u UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+c AS (SELECT x, min(y) AS root FROM r GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(k.links, 0) AS BIGINT) AS n_links, coalesce(c.root, e.vec_id) AS component_id, coalesce(c.root, e.vec_id) IS NOT DISTINCT FROM e.vec_id AS kept
+FROM embeddings e LEFT JOIN k ON k.a = e.vec_id LEFT JOIN c ON c.x = e.vec_id""",
 }
