@@ -46,9 +46,9 @@ class CommandAlreadyCommitted(WriteError):
 
 
 class ConstraintViolated(WriteError):
-    def __init__(self, violations: list):
-        super().__init__(f"{len(violations)} new or worse violations")
-        self.violations = violations
+    def __init__(self, violations: list, count: int | None = None):
+        self.violations, self.count = violations, len(violations) if count is None else count
+        super().__init__(f"{self.count} new or worse violations")
 
 
 class CheckpointConflict(WriteError):

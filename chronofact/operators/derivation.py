@@ -131,14 +131,16 @@ def materialize(store: FactStore, d: Derivation, basis: Basis | None = None) ->
     b = (basis or Basis()).resolved()
     found = evaluate(store.source(b), d)
     state = dependency_state(store.facts(), d.attributes, b)
-    digest = found.agg(F.coalesce(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("revision_id"))), 256), F.lit("")).alias("h")).first()["h"]
+    # a sum of digests doesn't mind the order, and no task sees all ids
+    word = lambda i: F.sum(F.conv(F.substring(F.sha2("revision_id", 256), 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+    digest = list(found.agg(F.count(F.lit(1)).cast("string"), *map(word, range(4))).first())
     run_id = content_id("run", {"derivation": d.id, "position": state["source_position"], "candidates": digest})
     entity = f"_sys/run/{run_id}"
     if not store.entity(entity).isEmpty():
         return run_id, False
     payload = F.to_json(F.struct("candidate_id", "revision_id", "identity", "result", F.transform("sources", lambda s: s["triple_id"]).alias("sources"), "next_boundary"))
     facts = found.select(F.lit(entity).alias("entity_id"), F.lit(":sys/candidate").alias("attribute"), F.lit("json").alias("value_type"), payload.alias("value_json"), F.lit("sys.Run").alias("entity_type"))
-    store.ingest(facts, Meta(actor="derivation"))
+    store.ingest(facts, Meta(actor="derivation"), system=True)
     head = {"derivation": d.id, "name": d.name, "source-position": state["source_position"], "valid-at": b.valid_at, "next-boundary": state["next_boundary"]}
     store.transact([Assert(entity, f":sys/run-{k}", v, "sys.Run") for k, v in head.items() if v is not None], system=True)
     return run_id, True
@@ -151,6 +153,11 @@ def runs(store: FactStore) -> DataFrame:
     return rows.groupBy(F.col("entity_id").alias("run")).agg(one("derivation", "value_string").alias("derivation"), one("name", "value_string").alias("name"), one("source-position", "value_number").cast("long").alias("source_position"), one("valid-at", "value_number").cast("long").alias("valid_at"), one("next-boundary", "value_number").cast("long").alias("next_boundary"), F.max("recorded_position").alias("position")).where("derivation is not null")
 
 
+def runs_query(name: str) -> dict:
+    """The query that lists a derivation's runs and where they stand, for a store or a wrapped page."""
+    return {"find": ["?run", "?derivation", "?source"], "where": [["?run", ":sys/run-name", name], ["?run", ":sys/run-derivation", "?derivation"], ["?run", ":sys/run-source-position", "?source"]]}
+
+
 def current(store: FactStore, d: Derivation, basis: Basis | None = None) -> dict:
     """The newest run and whether it still stands: current, stale or unmaterialized."""
     b = (basis or Basis()).resolved()

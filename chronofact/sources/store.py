@@ -1,8 +1,13 @@
-"""A fact store on a shared folder: append-only logs, atomic commits, an ordered journal.
+"""A fact store on a shared folder: atomic commits, an ordered journal, runs that patterns read cheaply.
 
-Each commit writes its assertions and retractions as Parquet under its own transaction id and then publishes
-``log/<position>.json`` by an exclusive create; whoever creates the file owns the position. Rows of a transaction
-that never got a log entry are invisible. The folder may be on any file system that Hadoop's API reaches.
+A commit is one file, ``log/<position>.json``, published by an exclusive create: whoever creates it owns the
+position. It holds the commit's rows; those of a large one lie beside it in Parquet folders that the file names.
+What was never published is invisible.
+
+``fold`` writes the commits since the last fold as a run, clustered by (attribute, entity) and with the
+retractions that hit the run itself folded in; ``compact`` merges all runs into one without pending retractions.
+A manifest names the runs up to a position. A read is the scan of the runs and of the few commits after them,
+less the retractions that are still apart; the driver holds those few commits only, and folding keeps them few.
 """
 
 from __future__ import annotations
@@ -12,9 +17,11 @@ import os
 import secrets
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofact.errors import CommandAlreadyCommitted, ReadError, TransactionConflict, WriteError
 from chronofact.functions.values import canonical_json
@@ -22,6 +29,7 @@ from chronofact.plans.build import run
 from chronofact.plans.page import Page, run_page
 from chronofact.sources.basis import Basis, now_ms, visible
 from chronofact.sources.facts import ASSERTIONS, FACTS, RETRACTIONS, FactTable
+from chronofact.sources.files import Files
 
 TX_TYPE = "_Transaction"
 RESERVED_ENTITIES, RESERVED_ATTRIBUTES, RESERVED_TYPES = ("_sys/", "_tx/"), (":sys/", ":_tx/"), (TX_TYPE,)
@@ -117,70 +125,96 @@ class Meta:
     constraints: list = field(default_factory=list)
 
 
-class _Files:
-    """The few file operations of the commit protocol, through Hadoop's API."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def create(self, path: str, text: str) -> bool:
-        """False if the file is there already."""
-        try:
-            out = self.fs.create(self.path(path), False)
-        except Exception as e:
-            if "exist" in str(e).lower():
-                return False
-            raise
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
+LOG = "position long, tx_id string, instant long, command_id string, quiet boolean"
+#: More rows than this go to a Parquet folder beside the log.
+MOST_INLINE = 2000
+#: So many commits, or rows in them, are folded into a run.
+FOLD_COMMITS, FOLD_ROWS = 1000, 100_000
+ENDING = RETRACTIONS.names[1:]
 
-    def names(self, path: str) -> list[str]:
-        p = self.path(path)
-        return [s.getPath().getName() for s in self.fs.listStatus(p)] if self.fs.exists(p) else []
 
-    def exists(self, path: str) -> bool:
-        return self.fs.exists(self.path(path))
+@dataclass(frozen=True)
+class Timeline:
+    """A page of an entity's transactions, newest first, as of a position; the next page goes on before next_before."""
 
-    def delete(self, path: str) -> None:
-        self.fs.delete(self.path(path), True)
+    transactions: list[Row]
+    snapshot_position: int
+    next_before: int | None
 
 
 class FactStore:
     def __init__(self, spark: SparkSession, root: str, *, clock=now_ms, listeners: tuple = ()):
         self.spark, self.root, self.clock, self.listeners = spark, root.rstrip("/"), clock, list(listeners)
-        self.files = _Files(spark, self.root)
+        self.files = Files(spark, self.root)
+        self._tail: list[dict] = []  # commits after the manifest, each read once
+        self._manifest = {"position": 0, "runs": [], "logs": []}
+        self._frames: tuple | None = None
 
     # --- state -------------------------------------------------------------------------------------------
 
+    def _entry(self, position: int) -> str:
+        return f"{self.root}/log/{position:020d}.json"
+
+    def _refresh(self) -> None:
+        """Takes in what was committed or folded since the last look."""
+        for name in sorted(self.files.names(f"{self.root}/manifests"), reverse=True):
+            if name != self._manifest.get("name"):
+                self._manifest = {**json.loads(self.files.read(f"{self.root}/manifests/{name}")), "name": name}
+                self._tail = [e for e in self._tail if e["position"] > self._manifest["position"]]
+            break
+        at = self._tail[-1]["position"] if self._tail else self._manifest["position"]
+        while self.files.exists(self._entry(at + 1)):
+            at += 1
+            self._tail.append(json.loads(self.files.read(self._entry(at))))
+
     def current_position(self) -> int:
-        return max((int(n[:-5]) for n in self.files.names(f"{self.root}/log") if n.endswith(".json") and n[:-5].isdigit()), default=0)
+        self._refresh()
+        return self._tail[-1]["position"] if self._tail else self._manifest["position"]
 
     def log(self) -> DataFrame:
         """One row a commit: position, tx_id, instant, command_id, quiet."""
-        schema = "position long, tx_id string, instant long, command_id string, quiet boolean"
-        if not self.files.exists(f"{self.root}/log"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).json(f"{self.root}/log")
+        self._refresh()
+        rows = self.spark.createDataFrame([(e["position"], e["tx_id"], e["instant"], e.get("command_id"), e["quiet"]) for e in self._tail], LOG)
+        return self.spark.read.schema(LOG).parquet(*self._manifest["logs"]).unionByName(rows) if self._manifest["logs"] else rows
+
+    def _tail_rows(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """Assertions and retractions of the commits after the manifest, None where there are none."""
+        key = (self._manifest.get("name"), len(self._tail))
+        if self._frames is None or self._frames[0] != key:
+            made = [tuple(r.get(n) for n in ASSERTIONS.names) for e in self._tail for r in e.get("assertions", ())]
+            ended = [(t, e["instant"], e["position"], e["tx_id"]) for e in self._tail for t in e.get("retractions", ())]
+            out = []
+            for rows, kind, schema in ((made, "assertion_path", ASSERTIONS), (ended, "retraction_path", RETRACTIONS)):
+                parts = [self.spark.createDataFrame(rows, schema)] if rows else []
+                folders = [f"{self.root}/{e[kind]}" for e in self._tail if e.get(kind)]
+                parts += [self.spark.read.schema(schema).parquet(*folders)] if folders else []
+                out.append(reduce(DataFrame.unionByName, parts) if parts else None)
+            self._frames = (key, *out)
+        return self._frames[1:]
 
     def facts(self) -> DataFrame:
         """All committed facts with their retractions, in the wide layout."""
-        if not self.files.exists(f"{self.root}/assertions"):
+        self._refresh()
+        made, ended = self._tail_rows()
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in RETRACTIONS.fields[1:]]
+        runs = [f"{self.root}/{r['facts']}" for r in self._manifest["runs"]]
+        parts = [self.spark.read.schema(FACTS).parquet(*runs)] if runs else []
+        parts += [made.select("*", *nothing)] if made is not None else []
+        if not parts:
             return self.spark.createDataFrame([], FACTS)
-        done = self.log().select("tx_id")
-        made = self.spark.read.schema(ASSERTIONS).option("recursiveFileLookup", "true").parquet(f"{self.root}/assertions").join(done, "tx_id", "left_semi")
-        if not self.files.exists(f"{self.root}/retractions"):
-            return made.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in RETRACTIONS.fields[1:])).select(*FACTS.names)
-        ended = self.spark.read.schema(RETRACTIONS).option("recursiveFileLookup", "true").parquet(f"{self.root}/retractions").join(done.toDF("retract_tx_id"), "retract_tx_id", "left_semi")
-        # a fact ends once: the earliest committed retraction
-        first = ended.groupBy("triple_id").agg(F.min(F.struct("retracted_position", "retracted_at", "retract_tx_id")).alias("r")).select("triple_id", "r.*")
-        return made.join(first, "triple_id", "left").select(*FACTS.names)
+        facts = reduce(DataFrame.unionByName, parts)
+        apart = [self.spark.read.schema(RETRACTIONS).parquet(*(f"{self.root}/{r['retractions']}" for r in self._manifest["runs"] if r.get("retractions")))] if any(r.get("retractions") for r in self._manifest["runs"]) else []
+        apart += [ended] if ended is not None else []
+        return _ended(facts, reduce(DataFrame.unionByName, apart)) if apart else facts
 
     def source(self, basis: Basis | None = None, kinds: dict[str, str] | None = None) -> FactTable:
         return FactTable(self.facts(), basis, kinds)
 
+    def sql(self, query: str, basis: Basis | None = None) -> DataFrame:
+        """Spark SQL over {facts}: all facts, or those visible at a basis."""
+        facts = self.facts()
+        return self.spark.sql(query, facts=facts if basis is None else facts.where(visible(basis.resolved())))
+
     # --- reads -------------------------------------------------------------------------------------------
 
     def get(self, triple_id: str, include_retracted: bool = False) -> DataFrame:
@@ -194,7 +228,7 @@ class FactStore:
         """(position, entity_id, facts) in the order of ids, no facts for ids that have none."""
         asked = self.spark.createDataFrame(list(enumerate(ids)), "position int, entity_id string")
         rows = self.facts().where(visible((basis or Basis()).resolved()))
-        own = rows.join(F.broadcast(asked.select("entity_id").distinct()), "entity_id", "left_semi").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("attribute", "triple_id", *(n for n in FACTS.names if n.startswith("value"))))).alias("facts"))
+        own = rows.join(asked.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("attribute", "triple_id", *(n for n in FACTS.names if n.startswith("value"))))).alias("facts"))
         return asked.join(own, "entity_id", "left").select("position", "entity_id", F.coalesce("facts", F.array()).alias("facts")).orderBy("position")
 
     def match(self, entity: str | None = None, attribute: str | None = None, entity_type: str | None = None, value=None, basis: Basis | None = None) -> DataFrame:
@@ -218,32 +252,48 @@ class FactStore:
 
     # --- journal -----------------------------------------------------------------------------------------
 
-    def journal(self) -> DataFrame:
-        """One row a journaled transaction: position, tx_id, instant, actor, ids, changes."""
+    def journal(self, where=None) -> DataFrame:
+        """One row a journaled transaction: position, tx_id, instant, actor, ids, changes in the order they were made.
+
+        where: a condition on the journal's facts that holds for all of a transaction's facts or for none.
+        """
         rows = self.facts().where(F.col("entity_type") == TX_TYPE)
-        one = lambda a, c: F.max(F.when(F.col("attribute") == f":_tx/{a}", F.col(c)))
-        changes = F.array_sort(F.collect_list(F.when(F.col("attribute") == ":_tx/change", F.col("value_json"))))
-        entities = F.array_sort(F.collect_set(F.when(F.col("attribute") == ":_tx/changed-entity", F.col("value_string"))))
-        return rows.groupBy(F.col("entity_id").alias("tx_id")).agg(
-            one("position", "value_number").cast("long").alias("position"), one("instant", "value_datetime").alias("instant"), one("actor", "value_string").alias("actor"), one("command-id", "value_string").alias("command_id"),
-            one("correlation-id", "value_string").alias("correlation_id"), one("causation-id", "value_string").alias("causation_id"), one("config-snapshot", "value_string").alias("config_snapshot"), entities.alias("entities"), changes.alias("changes"),
-        )
+        return journal_of(rows if where is None else rows.where(where))
 
     def transactions(self, after: int = 0, limit: int = 100) -> DataFrame:
         if not 1 <= limit <= 1000:
             raise ReadError("limit is 1 to 1000")
-        return self.journal().where(F.col("position") > after).orderBy("position").limit(limit)
+        # a journal fact is recorded at its transaction's own position: older ones aren't read
+        newer = self.facts().where((F.col("entity_type") == TX_TYPE) & (F.col("recorded_position") > after))
+        first = newer.where("attribute = ':_tx/position'").select("entity_id", "recorded_position").orderBy("recorded_position").limit(limit)
+        return journal_of(newer.join(first.select("entity_id"), "entity_id", "left_semi")).orderBy("position")
 
     def transaction(self, tx_id: str) -> DataFrame:
-        return self.journal().where(F.col("tx_id") == F.lit(tx_id))
+        return self.journal(F.col("entity_id") == F.lit(tx_id))
 
     def transaction_by_command(self, command_id: str) -> DataFrame:
-        return self.journal().where(F.col("command_id") == F.lit(command_id))
+        entry = self._command(command_id)
+        return self.transaction(entry["tx_id"] if entry else "")
 
-    def transactions_for_entity(self, entity: str, limit: int = 50, before: int | None = None) -> DataFrame:
-        """Newest first."""
-        rows = self.journal().where(F.array_contains("entities", entity))
-        return (rows if before is None else rows.where(F.col("position") < before)).orderBy(F.desc("position")).limit(limit)
+    def transactions_for_entity(self, entity: str, limit: int = 100, before: int | None = None, snapshot: int | None = None) -> DataFrame:
+        """Newest first; snapshot: nothing after that position is seen."""
+        if not 1 <= limit <= 1000:
+            raise ReadError("limit is 1 to 1000")
+        if any(p is not None and p < 0 for p in (before, snapshot)):
+            raise ReadError("positions aren't negative")
+        rows = self.facts().where(F.col("entity_type") == TX_TYPE)
+        own = rows.where((F.col("attribute") == ":_tx/changed-entity") & (F.col("value_string") == F.lit(entity)))
+        own = own if before is None else own.where(F.col("recorded_position") < before)
+        own = own if snapshot is None else own.where(F.col("recorded_position") <= snapshot)
+        ids = own.select("entity_id", "recorded_position").orderBy(F.desc("recorded_position")).limit(limit).select("entity_id")
+        return journal_of(rows.join(ids, "entity_id", "left_semi")).orderBy(F.desc("position"))
+
+    def timeline(self, entity: str, limit: int = 100, before: int | None = None, snapshot: int | None = None) -> Timeline:
+        """One page; passing on its snapshot_position and next_before gives pages that later commits don't shift."""
+        at = self.current_position() if snapshot is None else snapshot
+        rows = self.transactions_for_entity(entity, min(limit + 1, 1000) if limit < 1000 else limit, before, at).collect()
+        more = len(rows) > limit or (limit == 1000 and len(rows) == limit and not self.transactions_for_entity(entity, 1, rows[-1]["position"], at).isEmpty())
+        return Timeline(rows[:limit], at, rows[:limit][-1]["position"] if more else None)
 
     # --- writes ------------------------------------------------------------------------------------------
 
@@ -254,60 +304,165 @@ class FactStore:
         return self.transact(batch)
 
     def retract(self, triple_id: str) -> Receipt:
-        if self.get(triple_id).isEmpty():
-            raise WriteError(f"fact {triple_id} isn't live")
-        return self.transact([Retract(triple_id)])
+        if not self.get(triple_id).isEmpty():
+            receipt = self.transact([Retract(triple_id)])
+            if receipt.retracted:
+                return receipt
+        raise WriteError(f"fact {triple_id} isn't live")
 
     def retract_pattern(self, p: RetractPattern) -> int:
         return self.transact([p]).retracted
 
     def transact(self, ops: list, meta: Meta | None = None, *, system: bool = False) -> Receipt:
-        """All ops or none, as one commit. A lost race for the position is decided anew against the newer state."""
+        """All ops or none, in order, as one commit. A lost race for the position is decided anew against the newer state."""
         meta = meta or Meta()
         if not system:
             for o in ops:
-                refuse_reserved(o)
+                if isinstance(o, Assert):
+                    refuse_reserved(o.entity, o.attribute, o.entity_type)
         retracting = {o.triple_id for o in ops if isinstance(o, Retract)}
         for p in meta.preconditions:
             if p.triple_id not in retracting:
                 raise WriteError(f"precondition on {p.triple_id} goes with its retraction")
-        if meta.command_id is not None and not 1 <= len(meta.command_id) <= 1024:
-            raise WriteError("a command id has 1 to 1024 characters")
+        _check_command(meta)
         while True:
             receipt = self._attempt(ops, meta, system)
             if receipt is not None:
                 for listen in self.listeners:
                     listen(receipt, ops)
+                self._fold_if_long()
                 return receipt
 
-    def ingest(self, rows: DataFrame, meta: Meta | None = None) -> Receipt:
-        """Asserts a DataFrame of facts (assertion columns; missing ones are filled) as one commit, without the driver seeing rows."""
-        position, instant, tx = self.current_position() + 1, self.clock(), f"_tx/{ulid()}"
+    def ingest(self, rows: DataFrame, meta: Meta | None = None, *, system: bool = False) -> Receipt:
+        """Asserts a DataFrame of facts (assertion columns; missing ones are filled) as one commit, without the driver seeing rows.
+
+        Guards are those of ``transact``. The journal has the transaction, not each of its rows.
+        """
+        meta = meta or Meta()
+        if meta.preconditions:
+            raise WriteError("preconditions go with retractions")
+        _check_command(meta)
+        tx, body = f"_tx/{ulid()}", None
+        folder = f"assertions/{tx[4:]}"
         given = set(rows.columns)
-        fill = {"triple_id": F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit(tx), F.monotonically_increasing_id().cast("string")), 256), 1, 26)), "recorded_at": F.lit(instant), "recorded_position": F.lit(position), "valid_from": F.coalesce(F.col("valid_from"), F.lit(instant)) if "valid_from" in given else F.lit(instant), "schema_version": F.lit(1), "tx_id": F.lit(tx)}
-        shaped = rows.select(*((fill[f.name] if f.name in fill and (f.name not in given or f.name == "valid_from") else F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in ASSERTIONS.fields))
-        shaped.write.mode("append").parquet(f"{self.root}/assertions/{tx[4:]}")
-        own = self._journal_rows(tx, position, instant, [], 0, meta or Meta())
-        self.spark.createDataFrame(own, ASSERTIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/assertions/{tx[4:]}")
-        if not self._publish(position, tx, instant, meta or Meta(), False):
-            self._drop(tx)
-            return self.ingest(rows, meta)
-        return Receipt(tx, position, instant, [], 0)
+        fill = {"triple_id": F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit(tx), F.monotonically_increasing_id().cast("string")), 256), 1, 26)), "schema_version": F.lit(1), "tx_id": F.lit(tx)}
+        while True:
+            position, instant = self._next(meta), self.clock()
+            if body != (position, instant):  # rows carry their position: a lost race writes them anew
+                self.files.delete(f"{self.root}/{folder}")
+                fill |= {"recorded_at": F.lit(instant), "recorded_position": F.lit(position), "valid_from": F.coalesce(F.col("valid_from"), F.lit(instant)) if "valid_from" in given else F.lit(instant)}
+                shaped = rows.select(*((fill[f.name] if f.name in fill and (f.name not in given or f.name == "valid_from") else F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in ASSERTIONS.fields))
+                shaped.write.parquet(f"{self.root}/{folder}")
+                body = (position, instant)
+            written = self.spark.read.schema(ASSERTIONS).parquet(f"{self.root}/{folder}")
+            try:
+                if not system and not written.where(_reserved()).isEmpty():
+                    raise WriteError("reserved names can't be written")
+                if meta.constraints:
+                    from chronofact.operators.constraints import enforce
+
+                    enforce(self.facts().where("retracted_at is null"), written, None, meta.constraints)
+            except Exception:
+                self._drop(tx)
+                raise
+            own = [] if system else self._journal_rows(tx, position, instant, [], meta)
+            if self._publish({"position": position, "tx_id": tx, "instant": instant, "command_id": meta.command_id, "quiet": system, "bulk": True, "assertions": own, "assertion_path": folder}):
+                receipt = Receipt(tx, position, instant, [], 0)
+                for listen in self.listeners:
+                    listen(receipt, [])
+                self._fold_if_long()
+                return receipt
+
+    def fold(self) -> bool:
+        """Writes the commits after the manifest as a run, so that reads are scans of clustered files. False if there are none."""
+        self._refresh()
+        if not self._tail:
+            return False
+        made, ended = self._tail_rows()
+        to, name = self._tail[-1]["position"], ulid()
+        run: dict = {}
+        if made is not None:
+            rows = made.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in RETRACTIONS.fields[1:]))
+            self._write_run(_ended(rows, ended) if ended is not None else rows, f"runs/{name}/facts")
+            run["facts"] = f"runs/{name}/facts"
+        if ended is not None:
+            older = ended.join(made.select("triple_id"), "triple_id", "left_anti") if made is not None else ended
+            older.write.parquet(f"{self.root}/runs/{name}/retractions")
+            run["retractions"] = f"runs/{name}/retractions"
+        if "facts" not in run:
+            self._write_run(self.spark.createDataFrame([], FACTS), f"runs/{name}/facts")
+            run["facts"] = f"runs/{name}/facts"
+        logs = f"{self.root}/runs/{name}/log"
+        self.spark.createDataFrame([(e["position"], e["tx_id"], e["instant"], e.get("command_id"), e["quiet"]) for e in self._tail], LOG).coalesce(1).write.parquet(logs)
+        return self._turn(to, 0, [*self._manifest["runs"], run], [*self._manifest["logs"], logs], name)
+
+    def compact(self, to: str | None = None) -> FactTable:
+        """Merges all runs into one, retractions folded in; with ``to`` it writes a copy there and leaves the store as it is."""
+        if to is not None:
+            self._write_run(self.facts(), to, False)
+            return FactTable(self.spark.read.schema(FACTS).parquet(to))
+        self.fold()
+        if len(self._manifest["runs"]) > 1 or any(r.get("retractions") for r in self._manifest["runs"]):
+            name, state = ulid(), self._manifest
+            # commits that come meanwhile stay in the tail; they end facts there
+            merged = self.facts().where(F.col("recorded_position") <= state["position"])
+            late = F.col("retracted_position") > state["position"]
+            self._write_run(merged.select(*ASSERTIONS.names, *(F.when(~F.coalesce(late, F.lit(False)), F.col(c)).alias(c) for c in ENDING)), f"runs/{name}/facts")
+            self._turn(state["position"], state.get("level", 0) + 1, [{"facts": f"runs/{name}/facts"}], state["logs"], name)
+        return self.source()
+
+    def vacuum(self) -> int:
+        """Deletes the runs that the newest manifest doesn't name; readers of older manifests must be done. How many."""
+        self._refresh()
+        named = {p.split("/")[-2] for r in self._manifest["runs"] for p in r.values()} | {p.split("/")[-2] for p in self._manifest["logs"]}
+        old = [n for n in self.files.names(f"{self.root}/runs") if n not in named]
+        for n in old:
+            self.files.delete(f"{self.root}/runs/{n}")
+        return len(old)
+
+    def _write_run(self, facts: DataFrame, to: str, inside: bool = True) -> None:
+        facts.select(*FACTS.names).repartitionByRange("attribute", "entity_id").sortWithinPartitions("attribute", "entity_id").write.parquet(f"{self.root}/{to}" if inside else to)
+
+    def _turn(self, position: int, level: int, runs: list[dict], logs: list[str], name: str) -> bool:
+        """Makes a manifest the store's, unless another folder was first."""
+        text = json.dumps({"position": position, "level": level, "runs": runs, "logs": logs})
+        if not self.files.create(f"{self.root}/manifests/{position:020d}.{level:06d}.json", text):
+            self.files.delete(f"{self.root}/runs/{name}")
+            return False
+        self._frames = None
+        self._refresh()
+        return True
 
-    def compact(self, to: str) -> FactTable:
-        """A copy of all committed facts, clustered by (attribute, entity) so that a pattern reads few row groups."""
-        self.facts().repartitionByRange("attribute", "entity_id").sortWithinPartitions("attribute", "entity_id").write.parquet(to)
-        return FactTable(self.spark.read.schema(FACTS).parquet(to))
+    def _fold_if_long(self) -> None:
+        self._refresh()
+        if len(self._tail) >= FOLD_COMMITS or sum(len(e.get("assertions", ())) for e in self._tail) >= FOLD_ROWS:
+            self.fold()
+
+    def _command(self, command_id: str) -> dict | None:
+        """The commit of a command, if it was committed."""
+        self._refresh()
+        for e in self._tail:
+            if e.get("command_id") == command_id:
+                return e
+        if not self._manifest["logs"]:
+            return None
+        found = self.spark.read.schema(LOG).parquet(*self._manifest["logs"]).where(F.col("command_id") == F.lit(command_id)).first()
+        return found.asDict() if found else None
 
-    def _publish(self, position: int, tx: str, instant: int, meta: Meta, quiet: bool) -> bool:
-        entry = {"position": position, "tx_id": tx, "instant": instant, "command_id": meta.command_id, "quiet": quiet}
-        return self.files.create(f"{self.root}/log/{position:020d}.json", json.dumps(entry) + "\n")
+    def _next(self, meta: Meta) -> int:
+        """The position to try, after a look for the command."""
+        if meta.command_id is not None and (earlier := self._command(meta.command_id)):
+            raise CommandAlreadyCommitted(meta.command_id, earlier["tx_id"])
+        return self.current_position() + 1
+
+    def _publish(self, entry: dict) -> bool:
+        return self.files.create(self._entry(entry["position"]), json.dumps(entry) + "\n")
 
     def _drop(self, tx: str) -> None:
         for kind in ("assertions", "retractions"):
             self.files.delete(f"{self.root}/{kind}/{tx[4:]}")
 
-    def _journal_rows(self, tx: str, position: int, instant: int, changes: list[dict], retracted: int, meta: Meta) -> list[tuple]:
+    def _journal_rows(self, tx: str, position: int, instant: int, changes: list[dict], meta: Meta) -> list[dict]:
         out = []
 
         def fact(attribute: str, value) -> None:
@@ -318,73 +473,129 @@ class FactStore:
         for name, value in (("actor", meta.actor), ("command-id", meta.command_id), ("correlation-id", meta.correlation_id), ("causation-id", meta.causation_id), ("config-snapshot", meta.config_snapshot)):
             if value is not None:
                 fact(name, value)
-        for entity in dict.fromkeys(c["entity"] for c in changes):
+        for entity in dict.fromkeys(c["entityId"] for c in changes):
             fact("changed-entity", {"type": "ref", "value": entity})
         for i, c in enumerate(changes):
             fact("change", {"type": "json", "value": {"index": i, **c}})
         return out
 
-    def _row(self, a: Assert, tx: str, position: int, instant: int, meta: Meta) -> tuple:
+    def _row(self, a: Assert, tx: str, position: int, instant: int, meta: Meta) -> dict:
         values = {"triple_id": a.triple_id or ulid(), "entity_id": a.entity, "attribute": a.attribute, **packed(a.value), "recorded_at": instant, "recorded_position": position, "valid_from": instant if a.valid_from is None else a.valid_from, "valid_to": a.valid_to, "created_by": meta.actor, "entity_type": a.entity_type, "schema_version": 1, "tx_id": tx}
-        return tuple(values.get(n) for n in ASSERTIONS.names)
+        return {n: values[n] for n in ASSERTIONS.names if values.get(n) is not None}
 
     def _attempt(self, ops: list, meta: Meta, system: bool) -> Receipt | None:
-        position, instant, tx = self.current_position() + 1, self.clock(), f"_tx/{ulid()}"
-        if meta.command_id is not None:
-            earlier = self.log().where(F.col("command_id") == F.lit(meta.command_id)).first()
-            if earlier:
-                raise CommandAlreadyCommitted(meta.command_id, earlier["tx_id"])
-        live = self.facts().where("retracted_at is null")
-        wanted = {o.triple_id for o in ops if isinstance(o, Retract)}
-        known = {r["triple_id"]: r for r in live.where(F.col("triple_id").isin(*wanted)).collect()} if wanted else {}
-        for p in meta.preconditions:
-            if p.triple_id not in known:
-                raise TransactionConflict(p.triple_id)
-        rows, ended, changes, triples = [], {}, [], []
+        position, instant, tx = self._next(meta), self.clock(), f"_tx/{ulid()}"
+        live = self.facts().where("retracted_at is null") if meta.constraints or any(not isinstance(o, Assert) for o in ops) else None
+        # what the retractions may hit, in one look: bounded by what one command changes
+        ids = sorted({o.triple_id for o in ops if isinstance(o, Retract)})
+        patterns = [pattern_values(o.entity, o.attribute, o.entity_type, o.value) for o in ops if isinstance(o, RetractPattern)]
+        found = _hit(live, [{"triple_id": i} for i in ids] + patterns) if ids or patterns else []
+        known = {r["triple_id"]: {k: v for k, v in r.asDict().items() if v is not None} for r in found}
+        guarded = {p.triple_id for p in meta.preconditions}
+        rows, ended, changes = [], {}, []
+        by_entity: dict[str, list[str]] = {}
+        for r in known.values():
+            by_entity.setdefault(r["entity_id"], []).append(r["triple_id"])
         for o in ops:
             if isinstance(o, Assert):
                 row = self._row(o, tx, position, instant, meta)
                 rows.append(row)
-                triples.append(row[0])
-                changes.append({"op": "assert", "entity": o.entity, "attribute": o.attribute, "triple": row[0]})
+                known[row["triple_id"]] = row
+                by_entity.setdefault(o.entity, []).append(row["triple_id"])
+                changes.append(change_record("assert", row, tx, instant))
+                continue
+            if isinstance(o, Retract):
+                hits = [known[o.triple_id]] if o.triple_id in known and o.triple_id not in ended else []
+                if not hits and o.triple_id in guarded:
+                    raise TransactionConflict(o.triple_id)
             else:
-                hits = [known[o.triple_id]] if isinstance(o, Retract) and o.triple_id in known else []
-                if isinstance(o, Retract) and not hits and o.triple_id not in triples:
-                    raise WriteError(f"fact {o.triple_id} isn't live")
-                if isinstance(o, RetractPattern):
-                    # what is live now and valid, bounded by what one command changes
-                    hits = live.where(pattern_column(o.entity, o.attribute, o.entity_type, o.value)).collect()
-                for h in hits:
-                    if h["triple_id"] not in ended:
-                        ended[h["triple_id"]] = (h["triple_id"], instant, position, tx)
-                        changes.append({"op": "retract", "entity": h["entity_id"], "attribute": h["attribute"], "triple": h["triple_id"]})
+                like = pattern_values(o.entity, o.attribute, o.entity_type, o.value)
+                near = by_entity.get(o.entity, []) if o.entity is not None else list(known)
+                hits = [known[t] for t in near if t not in ended and all(known[t].get(k) == v for k, v in like.items())]
+            for h in hits:
+                if not system:
+                    refuse_reserved(h["entity_id"], h["attribute"], h.get("entity_type"))
+                ended[h["triple_id"]] = h
+                changes.append(change_record("retract", h, tx, instant))
         if meta.constraints:
             from chronofact.operators.constraints import enforce
 
-            post = self.spark.createDataFrame(rows, ASSERTIONS) if rows else self.spark.createDataFrame([], ASSERTIONS)
-            enforce(self.spark, live, post, list(ended), meta.constraints, instant)
-        if not system:
-            rows += self._journal_rows(tx, position, instant, changes, len(ended), meta)
-        if rows:
-            self.spark.createDataFrame(rows, ASSERTIONS).coalesce(1).write.parquet(f"{self.root}/assertions/{tx[4:]}")
-        if ended:
-            self.spark.createDataFrame(list(ended.values()), RETRACTIONS).coalesce(1).write.parquet(f"{self.root}/retractions/{tx[4:]}")
-        if not self._publish(position, tx, instant, meta, system):
+            after = [tuple(r.get(n) for n in ASSERTIONS.names) for r in rows if r["triple_id"] not in ended]
+            enforce(live, self.spark.createDataFrame(after, ASSERTIONS), list(ended.values()), meta.constraints)
+        own = [] if system else self._journal_rows(tx, position, instant, changes, meta)
+        entry = {"position": position, "tx_id": tx, "instant": instant, "command_id": meta.command_id, "quiet": system, "assertions": own, "retractions": []}
+        if len(rows) <= MOST_INLINE:
+            entry["assertions"] = rows + own
+        else:
+            entry["assertion_path"] = f"assertions/{tx[4:]}"
+            self.spark.createDataFrame([tuple(r.get(n) for n in ASSERTIONS.names) for r in rows], ASSERTIONS).write.parquet(f"{self.root}/assertions/{tx[4:]}")
+        if len(ended) <= MOST_INLINE:
+            entry["retractions"] = list(ended)
+        else:
+            entry["retraction_path"] = f"retractions/{tx[4:]}"
+            self.spark.createDataFrame([(t, instant, position, tx) for t in ended], RETRACTIONS).write.parquet(f"{self.root}/retractions/{tx[4:]}")
+        if not self._publish(entry):
             self._drop(tx)
             time.sleep(0.01)
             return None
-        return Receipt(tx, position, instant, triples, len(ended))
+        return Receipt(tx, position, instant, [r["triple_id"] for r in rows], len(ended))
+
+
+def _hit(live: DataFrame, patterns: list[dict]) -> list[Row]:
+    """Facts that any pattern matches, oldest first. Patterns that name the same columns are one join, however many they are."""
+    kinds: dict[tuple, list[tuple]] = {}
+    for p in patterns:
+        kinds.setdefault(tuple(sorted(p)), []).append(tuple(p[k] for k in sorted(p)))
+    parts = []
+    for columns, values in kinds.items():
+        if len(values) <= 8 or not columns:
+            parts.append(live.where(reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.col(c) == F.lit(v) for c, v in zip(columns, row)), F.lit(True)) for row in values))))
+        else:
+            schema = T.StructType([ASSERTIONS[c] for c in columns])
+            parts.append(live.join(live.sparkSession.createDataFrame(sorted(set(values)), schema), list(columns), "left_semi").select(*live.columns))
+    return reduce(DataFrame.unionByName, parts).select(*ASSERTIONS.names).orderBy("recorded_position", "triple_id").collect()
+
+
+def pattern_values(entity=None, attribute=None, entity_type=None, value=None) -> dict:
+    """The columns that a pattern fixes."""
+    named = {"entity_id": entity, "attribute": attribute, "entity_type": entity_type}
+    return {k: v for k, v in named.items() if v is not None} | (packed(value) if value is not None else {})
+
+
+def _ended(facts: DataFrame, retractions: DataFrame) -> DataFrame:
+    """facts with retractions that are kept apart; a fact ends once, by the earliest."""
+    first = retractions.groupBy("triple_id").agg(F.min(F.struct("retracted_position", "retracted_at", "retract_tx_id")).alias("r"))
+    first = first.select("triple_id", *(F.col(f"r.{c}").alias(f"late_{c}") for c in ENDING))
+    out = facts.join(first, "triple_id", "left")
+    return out.select(*ASSERTIONS.names, *(F.coalesce(c, f"late_{c}").alias(c) for c in ENDING))
+
+
+def journal_of(rows: DataFrame) -> DataFrame:
+    """One row a transaction of journal facts, its changes by their index."""
+    one = lambda a, c: F.max(F.when(F.col("attribute") == f":_tx/{a}", F.col(c)))
+    index = F.get_json_object("value_json", "$.index").cast("int")
+    changes = F.array_sort(F.collect_list(F.when(F.col("attribute") == ":_tx/change", F.struct(index.alias("i"), F.col("value_json").alias("c")))))
+    entities = F.array_sort(F.collect_set(F.when(F.col("attribute") == ":_tx/changed-entity", F.col("value_string"))))
+    return rows.groupBy(F.col("entity_id").alias("tx_id")).agg(
+        one("position", "value_number").cast("long").alias("position"), one("instant", "value_datetime").alias("instant"), one("actor", "value_string").alias("actor"), one("command-id", "value_string").alias("command_id"),
+        one("correlation-id", "value_string").alias("correlation_id"), one("causation-id", "value_string").alias("causation_id"), one("config-snapshot", "value_string").alias("config_snapshot"), entities.alias("entities"), F.transform(changes, lambda x: x["c"]).alias("changes"),
+    )
+
+
+def change_record(op: str, row: dict, tx: str, instant: int) -> dict:
+    """What a consumer of the journal learns of one asserted or retracted fact."""
+    out = {"op": op, "tripleId": row["triple_id"], "entityId": row["entity_id"], "attribute": row["attribute"], "value": unpacked({**dict.fromkeys(ASSERTIONS.names), **row}), "validFrom": row["valid_from"], "recordedAt": row["recorded_at"], "assertionTxId": row["tx_id"]}
+    out |= {k: row[c] for k, c in (("entityType", "entity_type"), ("validTo", "valid_to")) if row.get(c) is not None}
+    return out | ({"retractedAt": instant, "retractionTxId": tx} if op == "retract" else {})
+
+
+def _check_command(meta: Meta) -> None:
+    if meta.command_id is not None and not 1 <= len(meta.command_id) <= 1024:
+        raise WriteError("a command id has 1 to 1024 characters")
 
 
 def pattern_column(entity=None, attribute=None, entity_type=None, value=None):
-    out = F.lit(True)
-    for name, v in (("entity_id", entity), ("attribute", attribute), ("entity_type", entity_type)):
-        if v is not None:
-            out = out & (F.col(name) == F.lit(v))
-    if value is not None:
-        for name, v in packed(value).items():
-            out = out & (F.col(name) == F.lit(v))
-    return out
+    return reduce(lambda a, b: a & b, (F.col(k) == F.lit(v) for k, v in pattern_values(entity, attribute, entity_type, value).items()), F.lit(True))
 
 
 def change_events(receipt: Receipt, ops: list) -> list[dict]:
@@ -393,12 +604,18 @@ def change_events(receipt: Receipt, ops: list) -> list[dict]:
     return [{"event": kinds[type(o)], "tx": receipt.tx_id, "position": receipt.position, **{k: v for k in ("entity", "attribute", "entity_type", "triple_id") if (v := getattr(o, k, None)) is not None}} for o in ops]
 
 
-def refuse_reserved(o) -> None:
-    entity, attribute, kind = getattr(o, "entity", None), getattr(o, "attribute", None), getattr(o, "entity_type", None)
+def refuse_reserved(entity: str | None, attribute: str | None, kind: str | None) -> None:
+    """The store's own facts are written by the store only; asserting and retracting are both writes."""
     if (entity or "").startswith(RESERVED_ENTITIES) or (attribute or "").startswith(RESERVED_ATTRIBUTES) or kind in RESERVED_TYPES:
         raise WriteError("reserved names can't be written")
 
 
+def _reserved():
+    """refuse_reserved as a condition on fact rows."""
+    starts = [F.col(c).startswith(p) for c, prefixes in (("entity_id", RESERVED_ENTITIES), ("attribute", RESERVED_ATTRIBUTES)) for p in prefixes]
+    return reduce(lambda a, b: a | b, starts) | F.coalesce(F.col("entity_type").isin(*RESERVED_TYPES), F.lit(False))
+
+
 def dependency_state(facts: DataFrame, attributes: list[str], b: Basis) -> dict:
     rows = facts.where(F.col("attribute").isin(*attributes))
     touched = F.greatest(F.col("recorded_position"), F.coalesce(F.col("retracted_position"), F.lit(0)))

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chronofact.errors import CheckpointConflict, TransactionConflict
+from chronofact.sources.facts import ASSERTION_FIELDS, ASSERTIONS
 from chronofact.sources.store import Assert, FactStore, Meta, Retract, TripleLive
 
-LOG = "position long, tx_id string, instant long, command_id string, quiet boolean"
+_ROWS = ", ".join(f"{n}: {t.replace('long', 'bigint')}" for n, t in ASSERTION_FIELDS)
+LOG = f"position long, tx_id string, instant long, command_id string, quiet boolean, bulk boolean, assertion_path string, assertions array<struct<{_ROWS}>>"
+CHANGE = "index int, op string, entityId string, attribute string, entityType string, tripleId string"
 
 
 def commits(spark: SparkSession, store: FactStore, per_batch: int | None = None) -> DataFrame:
@@ -23,11 +26,18 @@ def commits(spark: SparkSession, store: FactStore, per_batch: int | None = None)
 
 
 def changes(store: FactStore, entries: DataFrame) -> DataFrame:
-    """(position, op, entity_id, attribute, entity_type, triple_id) of a batch of log entries."""
-    facts = store.facts().where("entity_type is null or entity_type <> '_Transaction'")
-    made = facts.join(entries.select("position"), facts.recorded_position == F.col("position")).select("position", F.lit("assert").alias("op"), "entity_id", "attribute", "entity_type", "triple_id")
-    ended = facts.join(entries.select("position"), facts.retracted_position == F.col("position")).select("position", F.lit("retract").alias("op"), "entity_id", "attribute", "entity_type", "triple_id")
-    return made.unionByName(ended)
+    """(position, op, entity_id, attribute, entity_type, triple_id) of a batch of log entries.
+
+    The entries hold their transactions' change records; only the folders of bulk loads among them are read.
+    """
+    rows = entries.select("position", F.explode("assertions").alias("a")).where("a.attribute = ':_tx/change'")
+    c = F.from_json("a.value_json", CHANGE)
+    made = rows.select("position", c.alias("c")).select("position", F.col("c.op").alias("op"), F.col("c.entityId").alias("entity_id"), F.col("c.attribute").alias("attribute"), F.col("c.entityType").alias("entity_type"), F.col("c.tripleId").alias("triple_id"))
+    folders = [f"{store.root}/{r[0]}" for r in entries.where("bulk").select("assertion_path").collect()]  # one name a bulk load
+    if not folders:
+        return made
+    loaded = store.spark.read.schema(ASSERTIONS).parquet(*folders)
+    return made.unionByName(loaded.select(F.col("recorded_position").alias("position"), F.lit("assert").alias("op"), "entity_id", "attribute", "entity_type", "triple_id"))
 
 
 def follow(store: FactStore, handle: Callable[[DataFrame, int], None], checkpoint: str, *, available_now: bool = False, every: str = "1 second", per_batch: int | None = None) -> StreamingQuery:

@@ -99,6 +99,31 @@ class Subscriptions:
         return affected(changes, self.table(changes.sparkSession))
 
 
+    def boundaries(self, facts: DataFrame, valid_at: int) -> DataFrame:
+        """(subscription, next_boundary): when time alone next changes what a subscription may see, null if never.
+
+        facts: what is recorded and not retracted. One pass for all subscriptions, so a scheduler asks once a round.
+        """
+        ahead = facts.select("entity_id", "attribute", "entity_type", F.explode(F.array("valid_from", "valid_to")).alias("t")).where(F.col("t") > valid_at)
+        # a boundary is kept once for each place, not once a fact
+        soonest = ahead.groupBy("entity_id", "attribute", "entity_type").agg(F.min("t").alias("t"))
+        table = self.table(facts.sparkSession)
+        met = matches(soonest, table, "t").groupBy("subscription").agg(F.min("t").alias("next_boundary"))
+        return table.select("subscription").distinct().join(met, "subscription", "left")
+
+    def due(self, facts: DataFrame, since: int, valid_at: int) -> DataFrame:
+        """(subscription) whose facts begin or end to hold after ``since`` and up to ``valid_at``: what a scheduler wakes up."""
+        return self.boundaries(facts, since).where(F.col("next_boundary") <= valid_at).select("subscription")
+
+
+def matches(rows: DataFrame, table: DataFrame, *keep: str) -> DataFrame:
+    """(subscription, keep...) of the rows(entity_id, attribute, entity_type) that subscriptions are about."""
+    fits = (F.col("type_wanted").isNull() | F.col("entity_type").isNull() | (F.col("type_wanted") == F.col("entity_type"))) & (F.col("entity_wanted").isNull() | (F.col("entity_wanted") == F.col("entity_id")))
+    named = rows.join(table.where("attribute is not null"), "attribute").where(fits).select("subscription", *keep)
+    loose = rows.join(F.broadcast(table.where("attribute is null").drop("attribute")), fits).select("subscription", *keep)  # subscriptions are the driver's own list
+    return named.unionByName(loose)
+
+
 def affected(changes: DataFrame, table: DataFrame) -> DataFrame:
     """Equal attributes meet by hash; subscriptions to any attribute are few and joined apart."""
     fits = (F.col("type_wanted").isNull() | F.col("entity_type").isNull() | (F.col("type_wanted") == F.col("entity_type"))) & (F.col("entity_wanted").isNull() | (F.col("entity_wanted") == F.col("entity_id")))

@@ -81,11 +81,11 @@ def test_lost_race_is_decided_again(store):
     seen = []
     publish = store._publish
 
-    def raced(position, tx, instant, meta, quiet):
+    def raced(entry):
         if not seen:  # another writer takes the position first
-            seen.append(position)
-            store.files.create(f"{store.root}/log/{position:020d}.json", json.dumps({"position": position, "tx_id": "_tx/other", "instant": 1, "command_id": None, "quiet": False}))
-        return publish(position, tx, instant, meta, quiet)
+            seen.append(entry["position"])
+            store.files.create(f"{store.root}/log/{entry['position']:020d}.json", json.dumps({"position": entry["position"], "tx_id": "_tx/other", "instant": 1, "command_id": None, "quiet": False}))
+        return publish(entry)
 
     store._publish = raced
     r = store.transact([Assert("p:1", ":name", "Ann")])
