@@ -153,6 +153,18 @@ def deploy_impact(facts: DataFrame, key: str, old: dict[str, object], new: dict[
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def deploy_counts(facts: DataFrame, key: str, old: dict[str, object], new: dict[str, object], now: int, subject_type: str | None = None) -> dict:
+    """How many subjects there are, how many a deployment decides anew, and how many answers flip.
+
+    Only a subject whose old proof went through a rule that changed is decided anew.
+    """
+    changed = [f"rule|{k}" for k in {*old, *new} if old.get(k) != new.get(k)]
+    proofs = prove(facts, Rule(key), now, old, subject_type)
+    touched = F.arrays_overlap("observed", F.array(*map(F.lit, changed)).cast("array<string>")) if changed else F.lit(False)
+    total, again = proofs.agg(F.count(F.lit(1)), F.coalesce(F.sum(touched.cast("int")), F.lit(0))).first()
+    return {"subjects": total, "reevaluated": again, "skipped": total - again, "flipped": deploy_impact(facts, key, old, new, now, subject_type).count()}
+
+
 # --- proofs ----------------------------------------------------------------------------------------------
 
 
@@ -224,7 +236,7 @@ def replay(proof: dict, world: dict, subject: str | None, now: int, catalog: dic
 
 
 def prove(facts: DataFrame, e, now: int, catalog: dict[str, object] | None = None, subject_type: str | None = None) -> DataFrame:
-    """(subject, truth, proof_id, reasons) for every subject."""
+    """(subject, truth, proof_id, reasons, observed) for every subject; observed names what the proof looked at."""
     wanted = sorted(attributes(e, catalog))
     rows = worlds(facts, set(wanted), subject_type)
     catalog = catalog or {}
@@ -244,10 +256,93 @@ def prove(facts: DataFrame, e, now: int, catalog: dict[str, object] | None = Non
                     if isinstance(v, dict) and v.get("fam") is not None:
                         world[(r["subject"] if entity == SUBJECT else entity, a)] = (v["num"], v["bool"], v["txt"])[int(v["fam"])]
                 p = truth(e, world, r["subject"], now, catalog)
-                out.append((r["subject"], p["truth"], p["id"], reasons(p)))
-            yield pd.DataFrame(out, columns=["subject", "truth", "proof_id", "reasons"])
+                out.append((r["subject"], p["truth"], p["id"], reasons(p), sorted({observed_key(o) for o in closure(p)})))
+            yield pd.DataFrame(out, columns=["subject", "truth", "proof_id", "reasons", "observed"])
+
+    return rows.mapInPandas(run, "subject string, truth boolean, proof_id string, reasons array<string>, observed array<string>")
+
+
+# --- expressions as JSON ------------------------------------------------------------------------------------
+
+_LEAVES = {"exists": Exists, "eq": Eq, "before": Before}
+_GROUPS = {"all": All, "any": Any}
+
+
+def to_json(e) -> dict:
+    """An expression as plain JSON, as configuration stores it."""
+    for name, kind in _LEAVES.items():
+        if isinstance(e, kind):
+            return {"op": name, **{k: getattr(e, k) for k in e.__dataclass_fields__}}
+    for name, kind in _GROUPS.items():
+        if isinstance(e, kind):
+            return {"op": name, "exprs": [to_json(x) for x in e.exprs]}
+    if isinstance(e, Lit):
+        return {"op": "lit", "value": e.value}
+    if isinstance(e, Rule):
+        return {"op": "rule", "key": e.key}
+    if isinstance(e, Not):
+        return {"op": "not", "expr": to_json(e.expr)}
+    raise ConfigError(f"not an expression: {e!r}")
+
 
-    return rows.mapInPandas(run, "subject string, truth boolean, proof_id string, reasons array<string>")
+def from_json(j: dict):
+    try:
+        op, rest = j["op"], {k: v for k, v in j.items() if k != "op"}
+        if op in _LEAVES:
+            return _LEAVES[op](**rest)
+        if op in _GROUPS:
+            return _GROUPS[op](tuple(from_json(x) for x in rest["exprs"]))
+        if op == "not":
+            return Not(from_json(rest["expr"]))
+        return {"lit": Lit, "rule": Rule}[op](**rest)
+    except (KeyError, TypeError) as error:
+        raise ConfigError(f"not an expression: {j!r}") from error
+
+
+def expr_id(e) -> str:
+    return content_id("expr", to_json(e))
+
+
+# --- the cache -----------------------------------------------------------------------------------------------
+
+
+def observed_key(o: list) -> str:
+    """What an observation looked at, whatever it saw: fact|entity|attribute, rule|key or clock|granularity."""
+    return f"fact|{o[1]}|{o[2]}" if o[0] == "fact" else f"{o[0]}|{o[1]}"
+
+
+class EvaluationCache:
+    """Proofs by what they observed. An expression's past proofs looked at few different sets of things (shapes);
+    a lookup reads what a shape names from the new world and compares. Nothing that wasn't looked at matters."""
+
+    def __init__(self):
+        self.entries: dict[str, dict[tuple, dict[str, dict]]] = {}
+        self.hits = self.misses = 0
+
+    def _seen(self, o: tuple, world: dict, now: int, catalog: dict) -> list:
+        if o[0] == "fact":
+            return ["fact", o[1], o[2], world.get((o[1], o[2]))]
+        if o[0] == "clock":
+            return ["clock", o[1], bucket(now, o[1])]
+        rule = catalog.get(o[1])
+        return ["rule", o[1], None if rule is None else content_id("rule", repr(rule))]
+
+    def truth(self, e, world: dict, subject: str | None, now: int, catalog: dict) -> dict:
+        shapes = self.entries.setdefault(content_id("question", [to_json(e), subject]), {})
+        for shape, proofs in shapes.items():
+            found = proofs.get(content_id("inputs", [self._seen(o, world, now, catalog) for o in shape]))
+            if found is not None:
+                self.hits += 1
+                return found
+        self.misses += 1
+        proof = truth(e, world, subject, now, catalog)
+        seen = closure(proof)
+        shape = tuple(tuple(o[:3]) if o[0] == "fact" else tuple(o[:2]) for o in seen)
+        shapes.setdefault(shape, {})[content_id("inputs", [self._seen(o, world, now, catalog) for o in shape])] = proof
+        return proof
+
+    def shapes(self, e, subject: str | None = None) -> int:
+        return len(self.entries.get(content_id("question", [to_json(e), subject]), {}))
 
 
 # --- reacting to changes -----------------------------------------------------------------------------------

@@ -126,7 +126,7 @@ def number_text(x: float) -> str:
 
 
 def canonical_json(value) -> str:
-    """JSON with sorted keys and no blanks; numbers as in ECMAScript; rejects what JSON can't say."""
+    """JSON with keys sorted by UTF-16 units and no blanks; numbers as in ECMAScript; rejects what JSON can't say."""
     open_now: set[int] = set()
 
     def text(v) -> str:
@@ -143,7 +143,7 @@ def canonical_json(value) -> str:
         open_now.add(id(v))
         try:
             if isinstance(v, dict):
-                return "{" + ",".join(f"{text(k)}:{text(v[k])}" for k in sorted(v)) + "}"
+                return "{" + ",".join(f"{text(k)}:{text(v[k])}" for k in sorted(v, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
             if isinstance(v, (list, tuple)):
                 return "[" + ",".join(map(text, v)) + "]"
         finally:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.errors import ConfigError
 from chronofact.functions import types as T
+from chronofact.functions.staging import discard, stage
 from chronofact.functions.values import content_id
 from chronofact.operators.constraints import Cardinality, ReferenceTarget, Required, Unique, evaluate
 from chronofact.sources.basis import Basis, visible
@@ -33,9 +35,13 @@ class Node:
             raise ConfigError(f"{self.kind} {self.key} has a child twice")
         object.__setattr__(self, "refs", tuple(sorted(set(self.refs))))
 
+    @property
+    def body(self) -> dict:
+        return {"kind": self.kind, "key": self.key, "attrs": self.attrs, "children": [[rel, c.id] for rel, c in self.children], "refs": [list(r) for r in self.refs]}
+
     @property
     def id(self) -> str:
-        return content_id("config-node", {"kind": self.kind, "key": self.key, "attrs": self.attrs, "children": [[rel, c.id] for rel, c in self.children], "refs": [list(r) for r in self.refs]})
+        return content_id("config-node", self.body)
 
     def walk(self, path: str = ""):
         here = f"{path}/{self.kind}:{self.key}"
@@ -79,7 +85,11 @@ class Release:
 
 
 class Releases:
-    """Immutable releases and movable refs; a ref moves only from where the mover thinks it is."""
+    """Immutable releases and movable refs; a ref moves only from where the mover thinks it is.
+
+    With a store everything is kept as facts: each node once under its content id, a release as its roots, a ref
+    as a pointer. What another process committed is read back, and checked against its ids, when it is asked for.
+    """
 
     def __init__(self, store: FactStore | None = None):
         self.store, self.releases, self.refs = store, {}, {}
@@ -96,14 +106,69 @@ class Releases:
         id_ = content_id("release", {"nodes": sorted(n.id for n in nodes), "parent": parent})
         release = self.releases.setdefault(id_, Release(id_, by_key, parent))
         if self.store is not None and self.store.match(entity=f"_sys/release/{id_}").isEmpty():
-            self.store.transact([Assert(f"_sys/release/{id_}", ":sys/node", n.id, "sys.Release") for n in nodes] or [Assert(f"_sys/release/{id_}", ":sys/empty", True, "sys.Release")], system=True)
+            every = {n.id: n for root in nodes for _, n in root.walk()}
+            known = {r[0] for r in self.store.match(entity_type="sys.Node").select("entity_id").join(self.store.spark.createDataFrame([(f"_sys/node/{i}",) for i in every] or [("",)], "entity_id string"), "entity_id").collect()}
+            ops = [Assert(f"_sys/node/{i}", ":sys/body", {"type": "json", "value": n.body}, "sys.Node") for i, n in every.items() if f"_sys/node/{i}" not in known]
+            ops.append(Assert(f"_sys/release/{id_}", ":sys/roots", {"type": "json", "value": {"nodes": [n.id for n in nodes], "parent": parent}}, "sys.Release"))
+            self.store.transact(ops, system=True)
         return release
 
+    def snapshot(self, id_: str) -> Release:
+        """A release by its id, rebuilt from the store if this process didn't commit it."""
+        if id_ not in self.releases:
+            held = self.store.match(entity=f"_sys/release/{id_}", attribute=":sys/roots").first() if self.store is not None else None
+            if held is None:
+                raise ConfigError(f"no release {id_}")
+            record = json.loads(held["value_json"])
+            bodies = self._bodies(record["nodes"])
+            built: dict[str, Node] = {}
+
+            def node(at: str, above: tuple = ()) -> Node:
+                if at in above:
+                    raise ConfigError(f"node {at} is its own descendant")
+                if at not in built:
+                    b = bodies[at]
+                    built[at] = Node(b["kind"], b["key"], b["attrs"], tuple((rel, node(c, (*above, at))) for rel, c in b["children"]), tuple((r, k) for r, k in b["refs"]))
+                    if built[at].id != at:
+                        raise ConfigError(f"node {at} isn't what its id says")
+                return built[at]
+
+            nodes = [node(i) for i in record["nodes"]]
+            if content_id("release", {"nodes": sorted(record["nodes"]), "parent": record["parent"]}) != id_:
+                raise ConfigError(f"release {id_} isn't what its id says")
+            self.releases[id_] = Release(id_, {f"{n.kind}:{n.key}": n for n in nodes}, record["parent"])
+        return self.releases[id_]
+
+    def _bodies(self, ids: list[str]) -> dict[str, dict]:
+        """Stored bodies of nodes and all below them, a level of the tree a look."""
+        out: dict[str, dict] = {}
+        wanted = list(ids)
+        while wanted:
+            asked = self.store.spark.createDataFrame([(f"_sys/node/{i}",) for i in wanted], "entity_id string")
+            rows = self.store.match(attribute=":sys/body", entity_type="sys.Node").join(asked, "entity_id").select("entity_id", "value_json").collect()
+            out |= {r["entity_id"].removeprefix("_sys/node/"): json.loads(r["value_json"]) for r in rows}
+            if lost := [i for i in wanted if i not in out]:
+                raise ConfigError(f"node {lost[0]} is missing")
+            wanted = list(dict.fromkeys(c for i in wanted for _, c in out[i]["children"] if c not in out))
+        return out
+
+    def load(self) -> Releases:
+        """Every release and ref of the store."""
+        for r in self.store.match(entity_type="sys.Release").select("entity_id").distinct().collect():
+            self.snapshot(r[0].removeprefix("_sys/release/"))
+        self.refs = {r["entity_id"].removeprefix("_sys/ref/"): r["value_string"] for r in self.store.match(entity_type="sys.Ref", attribute=":sys/target").collect()}
+        return self
+
+    def _target(self, name: str) -> str | None:
+        if self.store is None:
+            return self.refs.get(name)
+        held = self.store.match(entity=f"_sys/ref/{name}", attribute=":sys/target").first()
+        return held["value_string"] if held else None
+
     def set_ref(self, name: str, to: str, expected: str | None = None) -> None:
-        if to not in self.releases:
-            raise ConfigError(f"no release {to}")
-        if self.refs.get(name) != expected:
-            raise ConfigError(f"ref {name} is at {self.refs.get(name)}, not {expected}")
+        self.snapshot(to)
+        if self._target(name) != expected:
+            raise ConfigError(f"ref {name} is at {self._target(name)}, not {expected}")
         if self.store is not None:
             held = self.store.match(entity=f"_sys/ref/{name}", attribute=":sys/target").first()
             ops = ([Retract(held["triple_id"])] if held else []) + [Assert(f"_sys/ref/{name}", ":sys/target", to, "sys.Ref")]
@@ -111,17 +176,45 @@ class Releases:
         self.refs[name] = to
 
     def resolve(self, name: str) -> Release:
-        if name not in self.refs:
+        at = self._target(name)
+        if at is None:
             raise ConfigError(f"no ref {name}")
-        return self.releases[self.refs[name]]
+        return self.snapshot(at)
+
+    def recheck(self, kind: str, type_: object) -> list[dict]:
+        """Issues of every released node of a kind under a type, newer than the one that it was committed under maybe.
+
+        Each names the node, the releases that hold it, and what is at fault: its own data, or a child below it.
+        """
+        out = []
+        for id_, release in sorted(self.releases.items()):
+            for n in release.nodes.values():
+                for path, found in n.walk():
+                    if found.kind == kind:
+                        issues = T.issues(type_, found.attrs)
+                        out += [{"node": found.id, "release": id_, "path": path, "part": "data" if found is n else "child", "issue": i} for i in issues]
+        return out
 
     def diff(self, old: str, new: str) -> dict[str, list[str]]:
-        a, b = self.releases[old].nodes, self.releases[new].nodes
+        a, b = self.snapshot(old).nodes, self.snapshot(new).nodes
         return {"added": sorted(b.keys() - a.keys()), "removed": sorted(a.keys() - b.keys()), "changed": sorted(k for k in a.keys() & b.keys() if a[k].id != b[k].id)}
 
+    def diff_kinds(self, old: str, new: str) -> dict[str, list[str]]:
+        """What sort of change each touched node saw: its own data, its references, or only what lies below or behind it (closure)."""
+        a, b = self.snapshot(old).nodes, self.snapshot(new).nodes
+        out: dict[str, list[str]] = {"data": [], "refs": [], "closure": []}
+        for k in sorted(a.keys() & b.keys()):
+            if a[k].attrs != b[k].attrs:
+                out["data"].append(k)
+            if a[k].refs != b[k].refs:
+                out["refs"].append(k)
+        own = {*out["data"], *out["refs"]}
+        out["closure"] = sorted(k for k in self.impact(old, new) if k in a and k in b and k not in own)
+        return out
+
     def reverse_dependencies(self, release: str, key: str) -> list[str]:
         """All nodes that reach key through references."""
-        nodes = self.releases[release].nodes
+        nodes = self.snapshot(release).nodes
         found, edge = set(), {key}
         while edge:
             edge = {k for k, n in nodes.items() if k not in found and any(t in edge for _, t in n.refs)}
@@ -132,7 +225,7 @@ class Releases:
         """What a deployment touches: changed nodes and all that refer to them."""
         d = self.diff(old, new)
         touched = {*d["added"], *d["changed"], *d["removed"]}
-        after = {r for k in touched if k in self.releases[new].nodes for r in self.reverse_dependencies(new, k)}
+        after = {r for k in touched if k in self.snapshot(new).nodes for r in self.reverse_dependencies(new, k)}
         return sorted(touched | after)
 
 
@@ -162,6 +255,13 @@ class Attribute:
         return {"string": "txt", "ref": "txt", "number": "num", "datetime": "num", "boolean": "bool"}[self.storage]
 
 
+def use(attribute: Attribute, **changes) -> Attribute:
+    """An attribute as one entity type uses it: what isn't said is as declared."""
+    if unknown := set(changes) - {"required", "many", "unique", "target"}:
+        raise ConfigError(f"a use can't change {', '.join(sorted(unknown))}")
+    return replace(attribute, **changes)
+
+
 @dataclass(frozen=True)
 class EntityType:
     name: str
@@ -198,8 +298,6 @@ def entity_states(facts: DataFrame, entity_type: EntityType) -> DataFrame:
 
 def assemble(rows: list[dict], entity_type: EntityType) -> dict:
     """An attribute map: scalars, or sorted lists where several values stand or the type has a list."""
-    import json
-
     many = {a.name for a in entity_type.attributes if a.many}
     held: dict[str, list] = {}
     for r in rows:
@@ -251,19 +349,34 @@ class Validation:
         # keys in the order of the stored form, so that equal issues have equal text
         rows = found.groupBy("subject").agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "reason", "source")))).alias("issues"))
         held = self.store.match(entity_type="sys.Validation").where(F.col("entity_id").startswith(scope + "/")).select("triple_id", F.expr(f"substring(entity_id, {len(scope) + 2})").alias("subject"), F.col("value_json").alias("was"))
-        moved = rows.join(held, "subject", "full").where(~F.col("issues").eqNullSafe(F.col("was"))).collect()
+        moved = stage(rows.join(held, "subject", "full").where(~F.col("issues").eqNullSafe(F.col("was"))), "validation-moved")
         mark = {"release": release, "position": self._source_position()}
         checkpoint = self.store.match(entity=scope, attribute=":sys/validated").first()
-        import json
-
-        if moved or checkpoint is None or json.loads(checkpoint["value_json"]) != mark:
-            ops = [Retract(m["triple_id"]) for m in moved if m["triple_id"]] + ([Retract(checkpoint["triple_id"])] if checkpoint else [])
+        if not moved.isEmpty() or checkpoint is None or json.loads(checkpoint["value_json"]) != mark:
+            # new issues come as one bulk commit, however many there are; then old heads and the checkpoint move together
+            made = moved.where("issues is not null").select(F.concat(F.lit(f"{scope}/"), "subject").alias("entity_id"), F.lit(":sys/invalid").alias("attribute"), F.lit("json").alias("value_type"), F.col("issues").alias("value_json"), F.lit("sys.Validation").alias("entity_type"))
+            if not made.isEmpty():
+                self.store.ingest(made, system=True)
+            ops = [Retract(checkpoint["triple_id"])] if checkpoint else []
             guards = [TripleLive(o.triple_id) for o in ops]
-            ops += [Assert(f"{scope}/{m['subject']}", ":sys/invalid", {"type": "json", "value": json.loads(m["issues"])}, "sys.Validation") for m in moved if m["issues"]]
+            ops += [Retract(r["triple_id"]) for r in moved.where("triple_id is not null").select("triple_id").toLocalIterator()]
             ops.append(Assert(scope, ":sys/validated", {"type": "json", "value": mark}))
             self.store.transact(ops, Meta(preconditions=guards), system=True)
+        discard(moved)
+        return self.last_invalid(ref, entity_type)
+
+    def current_invalid(self, ref: str, release: str, entity_type: EntityType) -> DataFrame:
+        """(subject, issues) of the last validation; none that isn't current may be taken for an answer."""
+        if (state := self.freshness(ref, release, entity_type)) != "current":
+            raise ConfigError(f"the validation of {entity_type.name} under {ref} is {state}")
         return self.last_invalid(ref, entity_type)
 
+    def violations(self, ref: str, entity_type: EntityType, path: str | None = None) -> DataFrame:
+        """(subject, path, source, reason), one row an issue of the last validation."""
+        rows = self.last_invalid(ref, entity_type).select("subject", F.explode(F.from_json("issues", "array<struct<path: string, reason: string, source: string>>")).alias("i"))
+        rows = rows.select("subject", "i.path", "i.source", "i.reason")
+        return rows if path is None else rows.where(F.col("path") == F.lit(path))
+
     def last_invalid(self, ref: str, entity_type: EntityType) -> DataFrame:
         scope = f"_sys/validation/{content_id('validation', [ref, entity_type.name])}/"
         rows = self.store.match(entity_type="sys.Validation").where(F.col("entity_id").startswith(scope))
@@ -275,8 +388,6 @@ class Validation:
         return rows.select(F.expr(f"substring(entity_id, {len(scope) + 1})").alias("subject")).distinct()
 
     def freshness(self, ref: str, release: str, entity_type: EntityType) -> str:
-        import json
-
         scope = f"_sys/validation/{content_id('validation', [ref, entity_type.name])}"
         held = self.store.match(entity=scope, attribute=":sys/validated").first()
         if held is None:
