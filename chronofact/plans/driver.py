@@ -111,5 +111,42 @@ add("page_third_desc", f"SELECT * FROM ({BASE}) ORDER BY bal DESC, name LIMIT 25
 add("page_count", f"SELECT count(*) AS total FROM ({BASE}) WHERE bal > 0", lambda spark, sf_dir: spark.createDataFrame([(run_page(tables(spark, sf_dir, "customer"), {"inner": NAMES, "filters": [{"column": "?bal", "op": ">", "value": 0}], "limit": 5, "includeCount": True}).total,)], "total long"))
 for _name, _op, _value, _sql in (("like", "like", "%#00000001%", "LIKE '%#00000001%'"), ("ilike", "ilike", "%CUSTOMER#00000002%", "ILIKE '%CUSTOMER#00000002%'"), ("not_like", "not-like", "%1%", "NOT LIKE '%1%'"), ("not_ilike", "not-ilike", "CUST%9", "NOT ILIKE 'CUST%9'"), ("text_range", ">=", "Customer#000000900", ">= 'Customer#000000900'"), ("not_equal", "!=", "Customer#000000001", "<> 'Customer#000000001'")):
     add(f"filter_{_name}", f"SELECT * FROM ({BASE}) WHERE name {_sql}", paged("customer", NAMES, filters=[{"column": "?name", "op": _op, "value": _value}]))
+for _name, _op, _value in (("equal", "=", 711.56), ("less", "<", 0), ("at_most", "<=", 711.56), ("at_least", ">=", 5000)):
+    add(f"filter_number_{_name}", f"SELECT * FROM ({BASE}) WHERE bal {_op} {_value}", paged("customer", NAMES, filters=[{"column": "?bal", "op": _op, "value": _value}]))
+for _name, _op, _value in (("equal", "=", "Customer#000000007"), ("less", "<", "Customer#000000100"), ("at_most", "<=", "Customer#000000100"), ("more", ">", "Customer#000000100")):
+    add(f"filter_text_{_name}", f"SELECT * FROM ({BASE}) WHERE name {_op} '{_value}'", paged("customer", NAMES, filters=[{"column": "?name", "op": _op, "value": _value}]))
+TOXIC = {"find": ["?d", "?q"], "where": [["?d", ":documents/lang", "?l"]], "optionalProjection": {"rowBinding": "?d", "fields": [{"attribute": ":documents/quality", "variable": "?q"}]}}
+
+
+def _labelled(op: str):
+    """Documents with or without a label, through a wrapped query."""
+
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from chronofact.sources.facts import TableFacts, table_spec
+
+        docs = table_spec(spark.read.parquet(f"{sf_dir}/documents.parquet"), "documents", "doc_id", skip=("text",))
+        marks = table_spec(spark.read.parquet(f"{sf_dir}/labels.parquet"), "documents", "doc_id", skip=("toxic",))
+        return run_page(TableFacts(spark, docs, marks), {"inner": TOXIC, "filters": [{"column": "?q", "op": op}]}).frame
+
+    return call
+
+
+LABELLED = "SELECT DISTINCT 'documents:' || d.doc_id AS d, CAST(l.quality AS DOUBLE) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
+add("filter_is_not_null", f"SELECT * FROM ({LABELLED}) WHERE q IS NOT NULL", _labelled("is-not-null"))
+add("filter_absent", f"SELECT * FROM ({LABELLED}) WHERE q IS NULL", _labelled("is-null"))
+add("page_count_filtered", f"SELECT count(*) AS total FROM ({BASE}) WHERE name LIKE '%1%' AND bal >= 0", lambda spark, sf_dir: spark.createDataFrame([(run_page(tables(spark, sf_dir, "customer"), {"inner": NAMES, "filters": [{"column": "?name", "op": "like", "value": "%1%"}, {"column": "?bal", "op": ">=", "value": 0}], "limit": 5, "includeCount": True}).total,)], "total long"))
+
+# --- joins on attributes and transactions, clause order, rule details ----------------------------------------
+add("join_on_attribute", "SELECT DISTINCT a AS a FROM (SELECT unnest([':customer/name', ':customer/acctbal', ':customer/mktsegment', ':customer/nationkey']) AS a) WHERE (SELECT count(*) FROM customer WHERE c_custkey IN (1, 2)) = 2", query("customer", find=["?a"], where=[["customer:1", "?a", "?v"], ["customer:2", "?a", "?w"]]))
+add("join_on_attribute_and_value", "SELECT DISTINCT s_name AS name FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey)", query("supplier customer", find=["?name"], where=[["?s", ":supplier/name", "?name"], ["?s", ":supplier/nationkey", "?n"], ["?c", "?a", "?n"], ["=", "?a", ":customer/nationkey"]]))
+add("join_on_transaction", "SELECT DISTINCT n_name AS x, r_name AS y FROM nation, region WHERE n_nationkey < 3", query("nation region", find=["?x", "?y"], where=[["?n", ":nation/name", "?x", "?t"], ["?r", ":region/name", "?y", "?t"], ["or", [["=", "?n", "nation:0"], ["=", "?n", "nation:1"], ["=", "?n", "nation:2"]]]]))
+add("pattern_self", "SELECT CAST(0 AS BIGINT) AS n", query("customer", {"?n": "bigint"}, find=["?n"], where=[["?x", ":customer/name", "?x"]], aggregate=[["count", "?x", "?n"]]))
+add("clause_order", "SELECT DISTINCT c_name AS cust, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')", query("customer nation orders", find=["?cust", "?nation"], where=[["not", ["?o", ":orders/custkey", "?c"], ["?o", ":orders/orderstatus", "P"]], [">", "?b", 0], ["?n", ":nation/name", "?nation"], ["?c", ":customer/acctbal", "?b"], ["?c", ":customer/nationkey", "?n"], ["?c", ":customer/name", "?cust"]]))
+DEEP = [{"name": "in", "body": [["?x", a, "?y"]], "maxDepth": 1} for a in (":orders/custkey", ":customer/nationkey", ":nation/regionkey")] + [{"name": "in", "body": [["?x", a, "?n"], ["in", "?n", "?y"]], "maxDepth": 1} for a in (":orders/custkey", ":customer/nationkey")]
+add("rule_max_depth", "SELECT 'nation:' || n_nationkey AS x FROM nation WHERE n_regionkey = 1 UNION SELECT 'customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1", query("orders customer nation", find=["?x"], where=[["in", "?x", "region:1"]], rules=DEEP))
+add("rule_deep", "SELECT 'nation:' || n_nationkey AS x FROM nation WHERE n_regionkey = 1 UNION SELECT 'customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION SELECT 'orders:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1", query("orders customer nation", find=["?x"], where=[["in", "?x", "region:1"]], rules=[{k: v for k, v in r.items() if k != "maxDepth"} for r in DEEP]))
+add("rule_repeated_variable", "SELECT CAST(0 AS BIGINT) AS n", query("orders customer nation", {"?n": "bigint"}, find=["?n"], where=[["in", "?x", "?x"]], rules=DEEP, aggregate=[["count", "?x", "?n"]]))
+ENDS = [{"name": "has", "body": [["?x", a, "?y"]]} for a in (":customer/mktsegment", ":customer/acctbal", ":customer/nationkey")]
+add("rule_text_endpoints", "SELECT DISTINCT 'customer:' || c_custkey AS c, c_mktsegment AS v FROM customer UNION SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer", query("customer", find=["?c", "?v"], where=[["has", "?c", "?v"]], rules=ENDS))
 add("filter_other_family", f"SELECT * FROM ({BASE}) WHERE false", paged("customer", NAMES, filters=[{"column": "?bal", "op": "!=", "value": "x"}]))
 add("filter_is_null", "SELECT p_brand AS brand, CAST(NULL AS DOUBLE) AS s FROM part GROUP BY 1", paged("part", {"find": ["?brand", "?s"], "where": [["?p", ":part/brand", "?brand"], ["?p", ":part/name", "?n"]], "aggregate": [["sum", "?n", "?s"]]}, filters=[{"column": "?s", "op": "is-null"}]))

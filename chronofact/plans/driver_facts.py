@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.functions import boolexpr as B
 from chronofact.functions import types
-from chronofact.functions.staging import shared_dir
-from chronofact.operators import browse, config, constraints, derivation, snapshots
+from chronofact.operators import browse, config, constraints, derivation
 from chronofact.plans.build import run
 from chronofact.plans.catalog import tables
 from chronofact.plans.driver import QUERIES, SQL, add
 from chronofact.sources.basis import Basis, visible
 from chronofact.sources.facts import FactTable, Wanted
-from chronofact.sources.store import Assert, FactStore, Meta, Retract, dependency_state, pattern_column
-from chronofact.streaming import feed
+from chronofact.sources.store import Assert, dependency_state
 from chronofact.streaming.subscriptions import Subscriptions
 
 DAY = 86_400_000
@@ -48,7 +44,6 @@ def counted(basis: Basis):
 add("as_of_recorded", f"SELECT count(*) AS n, max(o_totalprice) AS s FROM orders WHERE epoch_ms(o_orderdate) <= {T} AND NOT (o_orderstatus = 'F' AND epoch_ms(o_orderdate) + {30 * DAY} <= {T})", counted(Basis(recorded_at=T, valid_at=T)))
 add("as_of_position", f"SELECT count(*) AS n, max(o_totalprice) AS s FROM orders WHERE epoch_ms(o_orderdate) // {DAY} <= {T // DAY} AND NOT (o_orderstatus = 'F' AND epoch_ms(o_orderdate) // {DAY} + 30 <= {T // DAY})", counted(Basis(recorded_position=T // DAY, valid_at=4 * T)))
 add("as_of_valid", f"SELECT count(*) AS n, max(o_totalprice) AS s FROM orders WHERE o_orderstatus <> 'F' AND epoch_ms(o_orderdate) <= {T}", counted(Basis(valid_at=T)))
-add("entity_history", "SELECT 'orders:' || o_orderkey AS entity_id, (CASE WHEN o_orderstatus = 'F' THEN 5 ELSE 0 END)::BIGINT AS ended, 5::BIGINT AS facts FROM orders", lambda spark, sf_dir: orders_over_time(spark, sf_dir).groupBy("entity_id").agg(F.count("retracted_at").alias("ended"), F.count(F.lit(1)).alias("facts")))
 add("facts_star_join", "SELECT DISTINCT p_name AS name, p_brand AS brand, CAST(p_size AS DOUBLE) AS size FROM part", lambda spark, sf_dir: run(FactTable(wide(spark, sf_dir, "part"), NOW, {":part/name": "txt", ":part/brand": "txt", ":part/size": "num"}), {"find": ["?name", "?brand", "?size"], "where": [["?p", ":part/name", "?name"], ["?p", ":part/brand", "?brand"], ["?p", ":part/size", "?size"]]}))
 add("facts_dynamic_values", "SELECT ':part/size' AS a, count(DISTINCT p_size) AS n FROM part UNION ALL SELECT ':part/brand', count(DISTINCT p_brand) FROM part UNION ALL SELECT ':part/type', count(DISTINCT p_type) FROM part UNION ALL SELECT ':part/name', count(DISTINCT p_name) FROM part UNION ALL SELECT ':part/retailprice', count(DISTINCT p_retailprice) FROM part", lambda spark, sf_dir: run(FactTable(wide(spark, sf_dir, "part"), NOW), {"find": ["?a", "?n"], "where": [["?p", "?a", "?v"]], "aggregate": [["count", "?v", "?n"]]}, {"?n": "bigint"}))
 add("optional_first_value", "SELECT 'documents:' || d.doc_id AS d, CAST(l.toxic AS DOUBLE) AS t FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", lambda spark, sf_dir: _optional(spark, sf_dir))
@@ -122,23 +117,7 @@ add("derivation_candidates", "SELECT 'orders:' || o_orderkey AS o, o_totalprice
 add("derivation_reconcile", "SELECT 'orders:' || o_orderkey AS o, CASE WHEN o_totalprice > 400000 THEN 'kept' ELSE 'removed' END AS change FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 300000", _reconciled)
 add("derivation_overlay", "SELECT 'orders:' || o_orderkey AS o, o_totalprice AS t FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 300000 UNION ALL SELECT 'orders:new', 999999", _what_if)
 
-# --- snapshots -------------------------------------------------------------------------------------------
-
-
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = orders_over_time(spark, sf_dir).where("entity_id like 'orders:%1'").select("entity_id", F.col("recorded_position").alias("position"), "retracted_position").distinct()
-    both = commits.select("entity_id", "position").unionByName(commits.where("retracted_position is not null").selectExpr("entity_id", "retracted_position AS position"))
-    both = both.withColumn("tx_id", F.concat(F.lit("_tx/"), F.col("position"))).withColumn("instant", F.lit(NOW.valid_at))
-    return snapshots.at_commits(orders_over_time(spark, sf_dir), both)
-
 
-def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = snapshots.current(_states(spark, sf_dir))
-    return latest.select("entity_id", F.when(F.col("state") == "{}", "gone").otherwise("there").alias("state"), "position")
-
-
-add("snapshot_latest", f"SELECT 'orders:' || o_orderkey AS entity_id, CASE WHEN o_orderstatus = 'F' THEN 'gone' ELSE 'there' END AS state, epoch_ms(o_orderdate) // {DAY} + CASE WHEN o_orderstatus = 'F' THEN 30 ELSE 0 END AS position FROM orders WHERE o_orderkey % 10 = 1", _diffs)
-add("snapshot_history", "SELECT 'orders:' || o_orderkey AS entity_id, (CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END)::BIGINT AS n FROM orders WHERE o_orderkey % 10 = 1", lambda spark, sf_dir: _states(spark, sf_dir).groupBy("entity_id").agg(F.count_distinct("hash").alias("n")))
 
 # --- three-valued rules ----------------------------------------------------------------------------------
 CATALOG = {"vip": B.All((B.Eq(":customer/mktsegment", "BUILDING"), B.Not(B.Rule("poor")))), "poor": B.Exists(":customer/flag")}
@@ -157,62 +136,20 @@ def _affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subs.affected(wide(spark, sf_dir, "customer").where(visible(NOW)).select("entity_id", "attribute", "entity_type"))
 
 
-add("affected_subscriptions", "SELECT unnest(['segments', 'one']) AS subscription", _affected)
-
-
-def _store(spark: SparkSession) -> FactStore:
-    s = FactStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    first = s.transact([Assert("p:1", ":name", "Ann", "Person"), Assert("p:2", ":name", "Bob", "Person")], Meta(actor="a"))
-    s.transact([Retract(first.triples[0]), Assert("p:1", ":name", "Anna", "Person")], Meta(actor="b", command_id="c"))
-    return s
-
-
-add("journal_page", "SELECT 2::BIGINT AS position, 'b' AS actor, 'c' AS command_id, 2 AS changes", lambda spark, sf_dir: _store(spark).transactions(after=1).select("position", "actor", "command_id", F.size("changes").alias("changes")))
-add("entity_timeline", "SELECT unnest([2, 1])::BIGINT AS position, unnest(['b', 'a']) AS actor", lambda spark, sf_dir: _store(spark).transactions_for_entity("p:1").select("position", "actor"))
-add("store_query", "SELECT unnest(['Anna', 'Bob']) AS name", lambda spark, sf_dir: _store(spark).query({"find": ["?name"], "where": [["?p", ":name", "?name"]]}, types={"?name": "string"}))
-
-
-
-# --- stores, validation, feed and browsing ---------------------------------------------------------------
-
-
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch read over a store that the nation table was ingested into."""
-    s = FactStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    s.ingest(wide(spark, sf_dir, "nation").select("entity_id", "attribute", "value_type", "value_string", "value_number", "entity_type"))
-    return s.entities(["nation:3", "nation:none", "nation:1"]).select("position", "entity_id", F.size("facts").alias("facts"))
-
-
-def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = wide(spark, sf_dir, "nation")
-    return facts.where(pattern_column(attribute=":nation/regionkey", value={"type": "ref", "value": "region:2"})).select("entity_id")
-
-
-def _snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _store(spark)
-    states = snapshots.materialize(s.facts(), s.log())
-    first = states.where("entity_id = 'p:1' and position = 1")
-    return snapshots.diff(first, snapshots.current(states, "p:1")).select("attribute", "change")
+def _wake_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When time alone changes what subscriptions see next; orders hold from their date on."""
+    subs = Subscriptions()
+    subs.register("totals", {"find": ["?o"], "where": [["?o", ":orders/totalprice", "?t"]]})
+    subs.register("one", {"find": ["?a"], "where": [["orders:1", "?a", "?v"]]})
+    subs.register("never", {"find": ["?p"], "where": [["?p", ":part/size", "?s"]]})
+    return subs.boundaries(orders_over_time(spark, sf_dir).where("retracted_at is null"), T - 365 * DAY)
 
 
-def _checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _store(spark)
-    c = feed.Checkpoints(s)
-    c.advance("reader", 0, 1)
-    c.advance("reader", 1, 2)
-    return _frame(spark, [("reader", c.get("reader"))], "consumer string, position long")
+add("wake_up", f"SELECT 'totals' AS subscription, min(epoch_ms(o_orderdate)) AS next_boundary FROM orders WHERE o_orderstatus <> 'F' AND epoch_ms(o_orderdate) > {T - 365 * DAY} UNION ALL SELECT 'one', min(epoch_ms(o_orderdate)) FILTER (WHERE o_orderkey = 1 AND o_orderstatus <> 'F' AND epoch_ms(o_orderdate) > {T - 365 * DAY}) FROM orders UNION ALL SELECT 'never', NULL", _wake_up)
+add("affected_subscriptions", "SELECT unnest(['segments', 'one']) AS subscription", _affected)
 
 
-def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every change that the stream hands on, in one run over what is there."""
-    s = _store(spark)
-    out = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    feed.follow(s, lambda changes, n: changes.write.mode("append").parquet(f"{out}/rows"), f"{out}/state", available_now=True).awaitTermination(300)
-    return spark.read.parquet(f"{out}/rows").select("position", "op", "entity_id", "attribute")
+# --- validation and browsing ---------------------------------------------------------------
 
 
 def _customer_type():
@@ -220,23 +157,8 @@ def _customer_type():
     return config.EntityType("Customer", (config.Attribute(":customer/name", text, required=True), config.Attribute(":customer/acctbal", types.Constrained(number, (("min", 0),))), config.Attribute(":customer/mktsegment", types.Enum(("BUILDING", "MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"))), config.Attribute(":customer/nationkey", types.RefType("Nation"))))
 
 
-def _react(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which customers' segment rule must be decided again after changes to two of them."""
-    observed = wide(spark, sf_dir, "customer").where("attribute = ':customer/mktsegment'").select(F.lit("vip").alias("question"), F.col("entity_id").alias("subject"), F.col("entity_id").alias("entity"), "attribute")
-    changes = _frame(spark, [("customer:1", ":customer/mktsegment"), ("customer:2", ":customer/mktsegment"), ("customer:3", ":customer/name")], "entity_id string, attribute string")
-    return B.react(changes, observed)
-
-
-add("batch_entities", "SELECT unnest([0, 1, 2])::INTEGER AS position, unnest(['nation:3', 'nation:none', 'nation:1']) AS entity_id, unnest([2, 0, 2])::INTEGER AS facts", _batch)
-add("typed_match", "SELECT 'nation:' || n_nationkey AS entity_id FROM nation WHERE n_regionkey = 2", _typed)
 add("entity_type_scan", "SELECT count(*) * 5 AS n FROM part", lambda spark, sf_dir: FactTable(wide(spark, sf_dir, "part", "nation"), NOW).matching(Wanted(entity_type="Part")).agg(F.count(F.lit(1)).alias("n")))
-add("snapshot_diff", "SELECT ':name' AS attribute, 'changed' AS change", _snapshot_diff)
-add("consumer_checkpoint", "SELECT 'reader' AS consumer, 2::BIGINT AS position", _checkpoint)
-add("change_feed", "SELECT unnest([1, 1, 2, 2])::BIGINT AS position, unnest(['assert', 'assert', 'assert', 'retract']) AS op, unnest(['p:1', 'p:2', 'p:1', 'p:1']) AS entity_id, ':name' AS attribute", _feed)
-add("transaction_by_command", "SELECT 2::BIGINT AS position, 'b' AS actor", lambda spark, sf_dir: _store(spark).transaction_by_command("c").select("position", "actor"))
-add("corrected_past", "SELECT 'Ann' AS name UNION ALL SELECT 'Bob'", lambda spark, sf_dir: _store(spark).query({"find": ["?name"], "where": [["?p", ":name", "?name"]]}, Basis(recorded_position=1), {"?name": "string"}))
 add("entity_validation", "SELECT 'customer:' || c_custkey AS subject, ':customer/acctbal' AS path, 'schema' AS source FROM customer WHERE c_acctbal < 0", lambda spark, sf_dir: config.validate(wide(spark, sf_dir, "customer"), _customer_type(), NOW).select("subject", "path", "source"))
-add("reactor_affected", "SELECT 'vip' AS question, unnest(['customer:1', 'customer:2']) AS subject", _react)
 add("reflected_columns", "SELECT unnest([':part/name', ':part/brand', ':part/type', ':part/size', ':part/retailprice']) AS attribute, unnest(['string', 'string', 'string', 'number', 'number']) AS value_type", lambda spark, sf_dir: browse.reflected_columns(wide(spark, sf_dir, "part"), "Part"))
 add("rule_proofs", "SELECT 'customer:' || c_custkey AS subject, c_mktsegment = 'BUILDING' AS truth FROM customer", lambda spark, sf_dir: B.prove(wide(spark, sf_dir, "customer"), B.Rule("vip"), T, CATALOG, "Customer").select("subject", "truth"))
 add("json_values", "SELECT 'events:' || event_id AS e, props FROM events", lambda spark, sf_dir: run(tables(spark, sf_dir, "events"), {"find": ["?e", "?props"], "where": [["?e", ":events/props", "?props"]]}))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.errors import CursorError
+from chronofact.functions.staging import discard, stage
 from chronofact.functions.values import FAM, canonical_json, compare, content_id, equal, family_is, lift, literal, part
 from chronofact.plans.ast import ORDERED, Filter, Order, Wrapped, is_variable, parse_wrapped
 from chronofact.plans.build import Relation, finished, ordered, result, sort_keys
@@ -128,22 +129,37 @@ def run_page(source, wrapped, *, basis: Basis | None = None, position: int | Non
     r = ordered(result(view, w.inner), w.inner)
     if w.filters:
         r = Relation(r.frame.where(reduce(Column.__and__, (filter_column(f, r) for f in w.filters))), r.kinds)
+    kept = None
+    if w.count:  # counted and paged from one evaluation
+        kept = stage(r.frame, "page-rows")
+        r = Relation(kept, r.kinds)
     total = r.frame.count() if w.count else None
     if held:
         r = Relation(r.frame.where(after(order, held["values"], r)), r.kinds)
     frame = r.frame.orderBy(*sort_keys(order, r))
     if w.limit is None:
         return Page(finished(Relation(frame, r.kinds), w.inner, types), None, total, basis)
-    page = Relation(frame.limit(w.limit), r.kinds)
-    # at most limit + 1 rows come to the driver
+    # limit + 1 rows come to the driver, by one run; the page is made of them
     keys = [lift(r.col(o.variable), r.kinds[o.variable]).alias(f"k{i}") for i, o in enumerate(order)]
-    ahead = frame.limit(w.limit + 1).select(*keys).collect()
+    ahead = frame.limit(w.limit + 1).select(F.struct(*(r.col(v) for v in r.frame.columns)).alias("row"), *keys).collect()
+    shown = frame.sparkSession.createDataFrame([tuple(x["row"]) for x in ahead[: w.limit]], frame.schema)
     cursor = None
     if len(ahead) > w.limit:
-        values = [None if x is None else (x["num"], x["bool"], x["txt"])[x["fam"]] for x in ahead[w.limit - 1]]
+        values = [None if x is None else (x["num"], x["bool"], x["txt"])[x["fam"]] for x in ahead[w.limit - 1][1:]]
         pinned = {"recordedAt": basis.recorded_at, "validAt": basis.valid_at, "recordedPosition": basis.recorded_position}
         cursor = encode({"version": VERSION, "queryFingerprint": print_, "scopeFingerprint": scope_, "basis": pinned, "values": values})
-    return Page(finished(page, w.inner, types), cursor, total, basis)
+    if kept is not None:
+        discard(kept)
+    return Page(finished(Relation(shown, r.kinds), w.inner, types), cursor, total, basis)
+
+
+def explain_page(source, wrapped, *, basis: Basis | None = None) -> dict:
+    """``explain`` of a wrapped query's inner query, with its filters and the completed order; nothing is run."""
+    w = parse_wrapped(wrapped)
+    order = complete_order(w)
+    out = explain(source.at((basis or Basis()).resolved()), w.inner.source)
+    page = {"filters": [[f.column, f.op, f.value] for f in w.filters], "order": [[o.variable, "desc" if o.descending else "asc"] for o in order], "limit": w.limit, "count": w.count, "continues": w.cursor is not None}
+    return {**out, "steps": [*out["steps"], {"label": "page", **page}]}
 
 
 def explain(source, query, types: dict[str, str] | None = None) -> dict:

@@ -2,8 +2,8 @@
 
 A bound argument shrinks the work: with a constant second argument only base pairs that end in it are extended;
 with a constant first argument the walk goes forward from it and no pair of the closure is made that doesn't
-start there. Each round is one join of the last round's new pairs with the edges; what was seen is a written
-table in the shared checkpoint folder.
+start there. Each round is one join of the last round's new pairs with the edges and writes what is new; what
+was seen is the union of the rounds' tables, which are never written again.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.functions.staging import stage
+from chronofact.functions.staging import discard, stage
 from chronofact.functions.values import part
 from chronofact.plans.ast import Apply, Pattern, Rule, is_variable
 from chronofact.plans.build import Relation, join_all, relations
@@ -54,22 +54,25 @@ def pairs(source, rules: list[Rule], first: str | None = None, second: str | Non
     edges = stage(_edges(source, rules), "rule-edges")
     if first is not None:
         # forward from the constant: the nodes within reach, then their base pairs
-        spark = base.sparkSession
-        reached = new = spark.createDataFrame([(first,)], "n string")
-        for _ in range(depth):
-            new = stage(edges.join(new, edges.a == new.n).select(F.col("b").alias("n")).distinct().join(reached, "n", "left_anti"), "rule-new")
-            if new.isEmpty():
-                break
-            reached = stage(reached.unionByName(new), "rule-reached")
+        start = base.sparkSession.createDataFrame([(first,)], "n string")
+        ahead = lambda new: edges.join(new.select("n"), edges.a == F.col("n")).select(F.col("b").alias("n"))
+        reached = _rounds(start, ahead, ["n"], depth)
         return base.join(reached, base.a == reached.n).select(F.lit(first).alias("a"), "b").distinct()
-    seen = new = stage(base, "rule-seen")
+    longer = lambda new: edges.toDF("x", "n").join(new, F.col("n") == F.col("a")).select(F.col("x").alias("a"), "b")
+    return _rounds(stage(base, "rule-round"), longer, ["a", "b"], depth)
+
+
+def _rounds(start: DataFrame, step, key: list[str], depth: int) -> DataFrame:
+    """start and what ``step`` makes of each round's new rows, until nothing is new."""
+    rounds = [start]
     for _ in range(depth):
-        step = edges.toDF("x", "n").join(new, F.col("n") == F.col("a")).select(F.col("x").alias("a"), "b").distinct()
-        new = stage(step.join(seen, ["a", "b"], "left_anti"), "rule-new")
+        seen = reduce(DataFrame.unionByName, rounds)
+        new = stage(step(rounds[-1]).distinct().join(seen, key, "left_anti"), "rule-round")
         if new.isEmpty():
+            discard(new)
             break
-        seen = stage(seen.unionByName(new), "rule-seen")
-    return seen
+        rounds.append(new)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def rule_relation(source, rules: tuple[Rule, ...], c: Apply) -> Relation:

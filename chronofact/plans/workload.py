@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronofact.plans.build import run
 from chronofact.sources.basis import Basis
 from chronofact.sources.facts import FACTS, FactTable, Wanted
+from chronofact.sources.store import Assert, FactStore, Meta, RetractPattern
 
 DEPARTMENTS, TITLES, PLACES = 8, 6, 5
 KINDS = {":name": "txt", ":email": "txt", ":age": "num", ":salary": "num", ":department": "txt", ":title": "txt", ":active": "bool", ":hire_date": "num", ":location": "txt", ":manager": "txt"}
@@ -30,10 +31,31 @@ def employees(spark: SparkSession, n: int) -> DataFrame:
     return rows.withColumns(fixed).select(*FACTS.names)
 
 
-def store(facts: DataFrame, path: str) -> FactTable:
-    """Clustered by (attribute, entity), so that a constant attribute reads its own row groups only."""
-    facts.repartitionByRange("attribute", "entity_id").sortWithinPartitions("attribute", "entity_id").write.mode("overwrite").parquet(path)
-    return FactTable(facts.sparkSession.read.schema(FACTS).parquet(path), Basis(valid_at=1), KINDS)
+def load(spark: SparkSession, n: int, root: str) -> FactStore:
+    """N employees by one bulk commit, folded into a run clustered by (attribute, entity)."""
+    s = FactStore(spark, root)
+    s.ingest(employees(spark, n).drop("triple_id", "recorded_at", "recorded_position", "schema_version", "tx_id", "retracted_at", "retracted_position", "retract_tx_id"), Meta(actor="load"))
+    s.fold()
+    return s
+
+
+def commit(s: FactStore, times: int) -> None:
+    """So many journaled transactions of two facts."""
+    for i in range(times):
+        s.transact([Assert(f"visit:{i}", ":guest", {"type": "ref", "value": f"employee:{i}"}, "Visit"), Assert(f"visit:{i}", ":day", i)], Meta(actor="desk"))
+
+
+def update(s: FactStore, first: int, employees: int) -> int:
+    """Replaces five attributes of each of some employees in one transaction: retract by pattern, assert anew."""
+    ops = []
+    for i in range(first, first + employees):
+        for attribute, value in ((":salary", 60_000 + i), (":age", 30 + i % 30), (":title", "title-9"), (":hire_date", {"type": "datetime", "value": 1_600_000_000_000 + i}), (":active", i % 2 == 0)):
+            ops += [RetractPattern(f"employee:{i}", attribute), Assert(f"employee:{i}", attribute, value)]
+    return s.transact(ops, Meta(actor="update")).retracted
+
+
+def view(s: FactStore) -> FactTable:
+    return s.source(Basis(valid_at=4_000_000_000_000), KINDS)
 
 
 def queries(s: FactTable, n: int) -> dict:
