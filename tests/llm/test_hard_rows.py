@@ -121,12 +121,14 @@ def test_words_in_windows():
             assert np.array_equal(a, b)
 
 
-def test_very_long_texts(spark):
+def test_very_long_texts(spark, tmp_path):
     """Twenty megabytes in one text, of many words and of a single one."""
-    times = lambda n: (n + F.col("id") * 0).cast("int")  # noqa: E731  else the plan holds the text as a constant
-    many, one = F.repeat(F.lit("some words that are not new here "), times(600_000)), F.repeat(F.lit("x"), times(20_000_000))
-    text = F.when(F.col("id") == 1, many).when(F.col("id") == 2, F.concat(many, F.lit(" end"))).when(F.col("id") < 5, one).otherwise(F.lit("short text"))
-    frame = spark.range(1, 6, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    many, one = "some words that are not new here " * 600_000, "x" * 20_000_000
+    pq.write_table(pa.table({"doc_id": [1, 2, 3, 4, 5], "text": [many, many + " end", one, one, "short text"]}), f"{tmp_path}/documents.parquet", row_group_size=1)
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
     out = {r["id"]: r["component_id"] for r in minhash.near_duplicates(frame).collect()}
     assert out == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
     model = toxicity.Model(np.zeros(1 << toxicity.BITS), 0.0)
