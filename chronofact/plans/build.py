@@ -196,10 +196,11 @@ def apply_or(source, r: Relation, o: Or) -> Relation:
         mark = f"mark {i}"
         kinds = dict(r.kinds)
         if any(p for p in wanted.predicates if not all(v in {x for q in wanted.patterns for x in q.variables} for v in p.variables)):
-            # a condition across both sides: rows that have a match, found once, then marked by a row number
-            tagged = r.frame.withColumn("row tag", F.monotonically_increasing_id())
-            tagged = tagged.join(right, condition, "left").groupBy("row tag", *(F.col(f"`{v}`") for v in kinds)).agg(F.max(F.coalesce(*(F.col(f"`{c}`").isNotNull() for c in right.columns))).alias(mark))
-            frame = tagged.drop("row tag")
+            # a condition across both sides: a semi join stops at a row's first match and makes no pairs; equal rows have equal marks
+            met = r.frame.distinct().join(right, condition, "left_semi")
+            met = met.select(*(r.col(v).alias(f"same {v}") for v in kinds), F.lit(True).alias(mark))
+            same = reduce(Column.__and__, (r.col(v).eqNullSafe(F.col(f"`same {v}`")) for v in kinds))
+            frame = r.frame.join(met, same, "left").drop(*(f"same {v}" for v in kinds))
         else:
             frame = r.frame.join(right.withColumn(mark, F.lit(True)), condition, "left").drop(*right.columns)
         r = Relation(frame, kinds | {mark: "bool"})  # marks travel like variables until the end

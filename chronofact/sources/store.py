@@ -290,6 +290,8 @@ class FactStore:
 
     def timeline(self, entity: str, limit: int = 100, before: int | None = None, snapshot: int | None = None) -> Timeline:
         """One page; passing on its snapshot_position and next_before gives pages that later commits don't shift."""
+        if not 1 <= limit <= 1000:
+            raise ReadError("limit is 1 to 1000")
         at = self.current_position() if snapshot is None else snapshot
         rows = self.transactions_for_entity(entity, min(limit + 1, 1000) if limit < 1000 else limit, before, at).collect()
         more = len(rows) > limit or (limit == 1000 and len(rows) == limit and not self.transactions_for_entity(entity, 1, rows[-1]["position"], at).isEmpty())
@@ -408,7 +410,9 @@ class FactStore:
             merged = self.facts().where(F.col("recorded_position") <= state["position"])
             late = F.col("retracted_position") > state["position"]
             self._write_run(merged.select(*ASSERTIONS.names, *(F.when(~F.coalesce(late, F.lit(False)), F.col(c)).alias(c) for c in ENDING)), f"runs/{name}/facts")
-            self._turn(state["position"], state.get("level", 0) + 1, [{"facts": f"runs/{name}/facts"}], state["logs"], name)
+            log = f"{self.root}/runs/{name}/log"
+            self.spark.read.schema(LOG).parquet(*state["logs"]).write.parquet(log)
+            self._turn(state["position"], state.get("level", 0) + 1, [{"facts": f"runs/{name}/facts"}], [log], name)
         return self.source()
 
     def vacuum(self) -> int:
