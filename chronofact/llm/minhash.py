@@ -21,7 +21,8 @@ probability of about 1e-6: postings are then the rarest shingles of each set, of
 threshold must share one, and no sketch rules a pair out.
 
 Tokens that many classes share are joined by a broadcast of the few that are so frequent, all others by a
-shuffle, and their lists are dealt in chunks: no task gets a token's whole list.
+shuffle, and their lists are dealt in chunks: no task gets a token's whole list. Small tables, told by a count
+of the written rows (``BROADCAST_BYTES``), are broadcast, so that postings travel once a round, to their chunk.
 
 Rows with a null id take no part in linking. A repeated id counts once, with all its texts. Null and
 empty texts and texts without words have an empty set and link with nothing. Order and number of
@@ -234,6 +235,11 @@ def _by_token(rows: DataFrame, table: DataFrame, many: str, above: int) -> DataF
     return rows.join(hot, "token").unionByName(rows.join(hot.select("token"), "token", "left_anti").join(table.where(F.col(many) <= above), "token"))
 
 
+def _fits(table: DataFrame, row_bytes: int) -> bool:
+    """Whether a written table is small enough to broadcast."""
+    return table.count() * row_bytes <= BROADCAST_BYTES
+
+
 def _shingles(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -263,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(signed.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "minhash-classes")
 
     def sets_of(reps: DataFrame) -> DataFrame:
-        wanted = F.broadcast(reps) if reps.count() * 32 <= BROADCAST_BYTES else reps
+        wanted = F.broadcast(reps) if _fits(reps, 32) else reps
         rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text")).join(wanted, "rep", "left_semi")
         with arrow_batches(spark):
             return stage(_sets(rows, width, sketch, seed), "minhash-sets")
@@ -286,23 +292,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = prefix.groupBy("rep").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # one class has few
     about = members.select("rep", (F.octet_length("members") / 8).cast("long").alias("size"), "sketch").join(tokens, "rep")
     postings = stage(about.withColumn("token", F.explode("tokens")).withColumn("home", F.xxhash64(F.lit(seed), "rep")), "minhash-posted")
+    discard(shared, prefix)
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        left, right = members.select(F.col("rep").alias("a"), F.col("members").alias("x")), members.select(F.col("rep").alias("b"), F.col("members").alias("y"))
-        both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        pairs = stage(pairs.distinct(), "minhash-pairs", cores)
+
+        def side(name: str, as_: str) -> DataFrame:
+            # only the sets that a pair asks for travel
+            asked = pairs.select(F.col(name).alias("rep")).distinct()
+            near = members.join(F.broadcast(asked), "rep", "left_semi") if _fits(pairs, 32) else members
+            return near.select(F.col("rep").alias(name), F.col("members").alias(as_))
+
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
         with arrow_batches(spark, 256, 8):
-            return stage(both.mapInArrow(_confirm(percent), "a long, b long, ok boolean"), label, cores)
+            out = stage(both.mapInArrow(_confirm(percent), "a long, b long, ok boolean"), label, cores)
+        discard(pairs)
+        return out
 
     cores = spark.sparkContext.defaultParallelism
     roots = spark.createDataFrame([], "node long, root long")
     done: list[DataFrame] = []
     tried = spark.createDataFrame([], "a long, b long, ok boolean")
     for r in range(rounds + 1):
-        here = postings.join(roots.toDF("rep", "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+        known = roots.toDF("rep", "root")
+        here = postings.join(F.broadcast(known) if _fits(roots, 48) else known, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
         by = here.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("many"))
         lists = by.groupBy("token").agg(F.sum("many").alias("rows"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("many", "comp")).alias("main")).where("comps > 1")
         lists = stage(lists.select("token", "rows", "main", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")), "minhash-lists", cores)
-        here = _by_token(here, lists, "rows", above)
+        here = here.join(F.broadcast(lists), "token") if _fits(lists, 80) else _by_token(here, lists, "rows", above)
         if r < rounds:
             dealt = here.withColumn("part", F.pmod(F.xxhash64("home", F.lit(r)), "chunks")).repartition("token", "part").sortWithinPartitions("token", "part", "rep")
             pairs = dealt.select("token", "part", "rep", "comp", "sketch").mapInArrow(_forest(sketch, agree), "a long, b long")
@@ -313,10 +330,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = dealt.select("token", "part", "rep", "comp", F.col("mover").cast("long").alias("mover"), F.col("own").cast("long").alias("own"), "size", "tokens", "sketch").mapInArrow(_cross(sketch, agree, percent), "a long, b long")
         if r:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        done += [lists, confirmed(pairs, f"minhash-tried{r}")]
+        done.append(confirmed(pairs, f"minhash-tried{r}"))
+        discard(lists)
         tried = tried.unionByName(done[-1])
         roots = components(tried.where("ok").select("a", "b"), "minhash")
-    discard(shared, prefix, sets, postings, *done)
+    discard(sets, postings, *done)
 
     table = classes.select("c1", "c2", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("c1", "c2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("id", "n", "c1", "c2").join(table, ["c1", "c2"], "left")
