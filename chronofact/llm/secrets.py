@@ -47,7 +47,7 @@ FEATURES = ["length", "digits", "upper", "lower", "signs", "hex", "transitions",
 
 def finder(min_run: int = 16, min_quoted: int = 8) -> str:
     """The regular expression: groups 1 or 2 the 48 characters before a candidate (fewer at the start), 3 the candidate, 4 up to 24 behind it."""
-    named = rf"(?<=[\"'])(?<=(?i:{_NAMED})[\"']{{0,1}}\s{{0,2}}[:=]\s{{0,2}}[\"'])"
+    named = rf"(?<=[\"'])(?<=[:=]\s{{0,2}}[\"'])(?<=(?i:{_NAMED})[\"']{{0,1}}\s{{0,2}}[:=]\s{{0,2}}[\"'])"
     quoted = rf"{named}[^\"'\s]{{{min_quoted},}}(?=[\"'])"
     block = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
     dotted = rf"eyJ[A-Za-z0-9_-]{{6,}}\.[A-Za-z0-9_-]{{4,}}(?:\.[A-Za-z0-9_-]*)?"
@@ -58,11 +58,12 @@ def finder(min_run: int = 16, min_quoted: int = 8) -> str:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_run: int = 16, min_quoted: int = 8) -> DataFrame:
     """(doc_id, ordinal, before, candidate, after)."""
-    text = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\x01\x02", "  ")
+    raw = F.col(f"`{text_col}`").cast("string")
+    text = F.translate(raw, "\x01\x02", "  ")
     marked = F.regexp_replace(text, F.lit(finder(min_run, min_quoted)), F.lit("\x01$1$2\x02$3\x02$4\x01"))
     found = F.filter(F.split(marked, "\x01", -1), lambda x, i: i % 2 == 1)
     # texts without a place where a candidate could begin aren't copied
-    worth = text.rlike(rf"{_SIGN}{{{min_run}}}|eyJ|-----BEGIN |(?i:{_NAMED})[\"']?\s{{0,2}}[:=]")
+    worth = raw.rlike(rf"(?<!{_SIGN}){_SIGN}{{{min_run}}}|eyJ|-----BEGIN |[:=][\s\x01\x02]{{0,2}}[\"']")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.when(worth, found)).alias("ordinal", "mark"))
     parts = F.split("mark", "\x02", 3)
     return rows.select("doc_id", "ordinal", parts[0].alias("before"), parts[1].alias("candidate"), parts[2].alias("after"))
