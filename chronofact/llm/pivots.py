@@ -162,6 +162,19 @@ def _link(least: float):
     return run
 
 
+def smallest_hashes(classes: DataFrame, total: int, most: int) -> DataFrame:
+    """The rows of the ``most`` smallest hashes of rep among total ones.
+
+    Each task of a top-k hands the driver up to ``most`` whole rows, whatever the number of tasks. So only rows
+    below a hash that about twice as many ids lie under are looked at, unless those happen to be too few.
+    """
+    few = classes
+    if total > 4 * most:
+        few = classes.where(F.xxhash64("rep") < F.lit(int(-(2**63) + 2 * most / total * 2.0**64)))
+        few = few if few.count() >= most else classes
+    return few.orderBy(F.xxhash64("rep"), "rep").limit(most)
+
+
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, nearest: int = 5, block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors: links of cosine >= least among equal labels.
 
@@ -181,7 +194,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     total = classes.count()
     many = min(MOST_PIVOTS, max(16, isqrt(total)))
     # a bounded sample for the pivots; a length that it doesn't hold gets a few of its own vectors
-    sample = [np.array(r[0], np.float64) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(2 * many).select("v").collect()]
+    sample = [np.array(r[0], np.float64) for r in smallest_hashes(classes, total, 2 * many).select("v").collect()]
     index: dict[int, tuple[np.ndarray, int]] = {}
     for size in [r[0] for r in classes.select(F.size("v")).distinct().collect()] if total else []:
         own = [v for v in sample if len(v) == size] or [np.array(r[0], np.float64) for r in classes.where(F.size("v") == size).orderBy("rep").limit(16).select("v").collect()]

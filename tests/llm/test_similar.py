@@ -136,6 +136,18 @@ def test_near_vectors(spark, block):
     assert pivots.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_driver_gets_a_bounded_sample_whatever_the_number_of_tasks(spark):
+    # a top-k hands the driver up to its limit of whole rows from each task
+    frame = spark.range(0, 20_000, 1, 40).select(F.col("id").alias("rep"), F.array(F.col("id").cast("float")).alias("v"))
+    want = [r["rep"] for r in frame.orderBy(F.xxhash64("rep"), "rep").limit(100).collect()]
+    sample = pivots.smallest_hashes(frame, 20_000, 100)
+    assert [r["rep"] for r in sample.select("rep", "v").collect()] == want
+    assert "Filter (xxhash64(" in sample._jdf.queryExecution().optimizedPlan().toString()
+    few = frame.where("rep < 150")  # fewer rows under the hash than asked for: all are looked at
+    assert len(pivots.smallest_hashes(few, 20_000, 100).collect()) == 100
+    assert pivots.smallest_hashes(frame.limit(0), 0, 100).count() == 0
+
+
 def test_exact_top_k(spark):
     x = np.floor(256 * vectors(9, 300).astype("f8")).astype("i8")
     x[10:40] = x[10]  # ties
