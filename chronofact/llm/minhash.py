@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import arrow_batches, components, discard, mix64, stage, text_chunks, whole_groups
+from chronofact.llm.common import arrow_batches, components, discard, mix64, released, stage, text_chunks, whole_groups
 from chronofact.llm.shingles import shingle_sets
 
 #: Ids are broadcast while they take so many bytes at most (32 each in a hash table); more are joined by a shuffle.
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coords:
                 sig = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(c1), pa.array(c2), pa.array(counts), sig], ["id", "c1", "c2", "n", "sig"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "id long, c1 long, c2 long, n long, sig array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(released(run), "id long, c1 long, c2 long, n long, sig array<long>")
 
 
 def _sets(docs: DataFrame, width: int, k: int, seed: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _sets(docs: DataFrame, width: int, k: int, seed: int) -> DataFrame:
                 sketch[counts > 0] = mix64(_minima(values, counts, k, seed + 1)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([values[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], ["rep", "members", "sketch"])
 
-    return docs.mapInArrow(run, "rep long, members binary, sketch binary")
+    return docs.mapInArrow(released(run), "rep long, members binary, sketch binary")
 
 
 def _groups(batches: Iterator) -> Iterator[tuple[list[np.ndarray], object, np.ndarray]]:
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return stage(_sets(rows, width, sketch, seed), "minhash-sets")
 
     sets = sets_of(classes.select("rep").distinct()) if exact else None
-    posted = sets.select("rep", "members").mapInArrow(_shingles, "rep long, token long") if exact else classes.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("token"))
+    posted = sets.select("rep", "members").mapInArrow(released(_shingles), "rep long, token long") if exact else classes.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("token"))
     counted = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
     shared = stage(counted if exact else counted.where("many > 1"), "minhash-tokens")
     total = shared.agg(F.sum("many")).first()[0] or 0
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
         with arrow_batches(spark, 256, 8):
-            out = stage(both.mapInArrow(_confirm(percent), "a long, b long, ok boolean"), label, cores)
+            out = stage(both.mapInArrow(released(_confirm(percent)), "a long, b long, ok boolean"), label, cores)
         discard(pairs)
         return out
 
@@ -322,12 +322,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         here = here.join(F.broadcast(lists), "token") if _fits(lists, 80) else _by_token(here, lists, "rows", above)
         if r < rounds:
             dealt = here.withColumn("part", F.pmod(F.xxhash64("home", F.lit(r)), "chunks")).repartition("token", "part").sortWithinPartitions("token", "part", "rep")
-            pairs = dealt.select("token", "part", "rep", "comp", "sketch").mapInArrow(_forest(sketch, agree), "a long, b long")
+            pairs = dealt.select("token", "part", "rep", "comp", "sketch").mapInArrow(released(_forest(sketch, agree)), "a long, b long")
         else:
             here = here.withColumn("mover", (F.col("comp") != F.col("main")).cast("int")).withColumn("lives", F.pmod("home", "chunks"))
             every = F.when(F.col("mover") == 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.col("lives").cast("int")))
             dealt = here.withColumn("part", F.explode(every)).withColumn("own", (F.col("part") == F.col("lives")).cast("int")).repartition("token", "part").sortWithinPartitions("token", "part", "rep")
-            pairs = dealt.select("token", "part", "rep", "comp", F.col("mover").cast("long").alias("mover"), F.col("own").cast("long").alias("own"), "size", "tokens", "sketch").mapInArrow(_cross(sketch, agree, percent), "a long, b long")
+            pairs = dealt.select("token", "part", "rep", "comp", F.col("mover").cast("long").alias("mover"), F.col("own").cast("long").alias("own"), "size", "tokens", "sketch").mapInArrow(released(_cross(sketch, agree, percent)), "a long, b long")
         if r:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         done.append(confirmed(pairs, f"minhash-tried{r}"))

@@ -136,6 +136,17 @@ def test_near_vectors(spark, block):
     assert pivots.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_workers_give_freed_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    run = common.released(lambda batches: (2 * b for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 4] and calls == [1]
+    monkeypatch.undo()
+    common.give_back()
+    source = open(minhash.__file__).read()
+    assert source.count("mapInArrow(") == source.count("mapInArrow(released(")
+
+
 def test_driver_gets_a_bounded_sample_whatever_the_number_of_tasks(spark):
     # a top-k hands the driver up to its limit of whole rows from each task
     frame = spark.range(0, 20_000, 1, 40).select(F.col("id").alias("rep"), F.array(F.col("id").cast("float")).alias("v"))
