@@ -310,9 +310,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return out
 
     cores = spark.sparkContext.defaultParallelism
-    roots = spark.createDataFrame([], "node long, root long")
+    # empty tables by plan: rows of the driver, even none, go through an RDD that keeps Python workers of its own
+    roots = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
     done: list[DataFrame] = []
-    tried = spark.createDataFrame([], "a long, b long, ok boolean")
+    tried = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("ok"))
     for r in range(rounds + 1):
         known = roots.toDF("rep", "root")
         here = postings.join(F.broadcast(known) if _fits(roots, 48) else known, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import arrow_batches, stage, text_chunks
+from chronofact.llm.common import arrow_batches, give_back, released, stage, text_chunks
 from chronofact.llm.shingles import words
 
 BITS = 20
@@ -72,8 +72,6 @@ def _features(raw: np.ndarray, at: np.ndarray, first: int, used: np.ndarray | No
 
 
 def _frequencies(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
     seen = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         positive = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -86,8 +84,6 @@ def _frequencies(batches: Iterator) -> Iterator:
 
 def _chosen(used: np.ndarray):
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             doc, bucket = _presence(batch.column(0), used)
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -141,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, fea
     n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return none
-    counts = sample.mapInArrow(_frequencies, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.mapInArrow(released(_frequencies), "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     p, u = (F.col("p") + 0.5) / (n[True] + 1), (F.col("u") + 0.5) / (n[False] + 1)
     # three standard errors above what unlabelled texts show: chance finds of a small sample stay out
     spread = F.sqrt(u * (1 - u) * (1 / n[True] + 1 / n[False]))
@@ -151,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, fea
     used[best] = True
     # at most features numbers a sampled row
     with arrow_batches(spark):
-        got = sample.mapInArrow(_chosen(used), "positive boolean, buckets array<int>").toArrow()
+        got = sample.mapInArrow(released(_chosen(used)), "positive boolean, buckets array<int>").toArrow()
     lists = got.column("buckets").combine_chunks()
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     place = np.zeros(1 << BITS, np.int64)
@@ -167,16 +163,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     at = np.flatnonzero(model.weight)
     weights, bias = model.weight[at], model.bias
 
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import pyarrow as pa
-
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = np.zeros(1 << BITS)  # once a task
         table[at] = weights
         used = table != 0
         for text in texts:
-            doc, bucket = _presence(pa.Array.from_pandas(text, type=pa.large_string()), used)
+            doc, bucket = _presence(text, used)
             g = np.bincount(doc, table[bucket], minlength=len(text)) + bias
             with np.errstate(over="ignore"):
-                yield pd.Series(1 / (1 + np.exp(-g)))
+                yield pa.array(1 / (1 + np.exp(-g)))
+        give_back()
 
-    return docs.withColumn(score_col, F.pandas_udf(of, "double")(F.col(f"`{text_col}`").cast("string")))
+    # Arrow's own arrays: no Python string is made of a text
+    return docs.withColumn(score_col, F.arrow_udf(of, "double")(F.col(f"`{text_col}`").cast("string")))

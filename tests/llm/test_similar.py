@@ -147,6 +147,33 @@ def test_workers_give_freed_memory_back(monkeypatch):
     assert source.count("mapInArrow(") == source.count("mapInArrow(released(")
 
 
+def test_near_duplicates_start_no_second_set_of_workers(spark, monkeypatch):
+    # rows that the driver makes, even none, come through an RDD whose Python workers stay beside those of the plans
+    docs = spark.range(6).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f "), F.floor(F.col("id") / 2).cast("string")).alias("text"))
+
+    def refused(*args, **kwargs):
+        raise AssertionError("createDataFrame")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    got = {x["id"]: x["component_id"] for x in minhash.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_staged_tables_have_small_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = spark.range(0, 700_000, 1, 2).select("id", *(F.rand(i).alias(f"r{i}") for i in range(8)))
+    table = common.stage(rows, "test-groups", 1)
+    (file,) = glob.glob(f"{table.staged_at.removeprefix('file:')}/part-*")
+    meta = pq.ParquetFile(file).metadata
+    sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert sum(sizes) > 40 << 20 and max(sizes) <= 24 << 20
+    assert table.count() == 700_000 and table.agg(F.sum("id")).first()[0] == 700_000 * 699_999 // 2
+    common.discard(table)
+
+
 def test_driver_gets_a_bounded_sample_whatever_the_number_of_tasks(spark):
     # a top-k hands the driver up to its limit of whole rows from each task
     frame = spark.range(0, 20_000, 1, 40).select(F.col("id").alias("rep"), F.array(F.col("id").cast("float")).alias("v"))

@@ -283,3 +283,27 @@ def test_nothing_else_imports_this_subpackage():
     for f in (root / "chronofact").rglob("*.py"):
         if "llm" not in f.parts:
             assert "chronofact.llm" not in f.read_text()
+
+
+def test_scoring_holds_little_beside_its_texts(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.util import PythonEvalType
+
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(500)]
+    texts = [" ".join(r.choices(words, k=300)) for _ in range(2000)]  # 4 MB
+    used = np.zeros(1 << toxicity.BITS, bool)
+    used[::64] = True
+    toxicity._presence(pa.array(texts[:10]), used)
+    tracemalloc.start()
+    toxicity._presence(pa.array(texts), used)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    # workers get Arrow's arrays: no Python string is made of a text
+    scored = toxicity.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), toxicity.Model(np.ones(1 << toxicity.BITS), 0.0))
+    assert f"], {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in scored._jdf.queryExecution().toString()
+    source = open(toxicity.__file__).read()
+    assert source.count("mapInArrow(") == source.count("mapInArrow(released(")
