@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronofact.functions.staging import discard, stage
 
-__all__ = ["arrow_batches", "ascii_lower", "components", "discard", "mix64", "packed_row", "released", "stage", "text_buffers", "text_chunks", "whole_groups"]
+__all__ = ["arrow_batches", "ascii_lower", "components", "discard", "mix64", "packed_row", "released", "stage", "text_buffers", "text_chunks", "unbroadcast", "whole_groups"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The bytes that count as white space in every contract here: x20 and x09 to x0D.
@@ -139,6 +139,19 @@ def whole_groups(batches, keys: int):
         yield rest, np.array([0, rest.num_rows])
 
 
+#: Most rows that a join may broadcast of a table that compresses well.
+BROADCAST_ROWS = 50_000
+
+
+def unbroadcast(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most ``rows`` rows, to be joined; merged if they are many.
+
+    Catalyst judges a written table by the bytes of its files. Small integers take a thirtieth there of what a
+    broadcast of them takes in the driver, so the session's threshold alone doesn't keep the driver from harm.
+    """
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
 ROWS_A_FILE = 500_000
 
 
@@ -151,7 +164,7 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """
 
     def halved(points: DataFrame) -> DataFrame:
-        onward = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        onward = unbroadcast(points.select(F.col("node").alias("root"), F.col("root").alias("next")), most)
         return points.join(onward, "root", "left").select("node", F.col("root").alias("was"), F.coalesce("next", "root").alias("root"))
 
     def stars(points: DataFrame) -> DataFrame:
@@ -170,20 +183,21 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     # no table here has more rows than twice the edges: files of a useful size, whatever the shuffle's partitions
     distinct = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     live = stage(distinct, f"{label}-edges", edges.sparkSession.sparkContext.defaultParallelism)
-    files = 1 + live.count() // ROWS_A_FILE
+    n_edges = live.count()
+    files, most = 1 + n_edges // ROWS_A_FILE, 2 * n_edges
     both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = stars(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
     for _ in range(rounds):
-        pairs = roots.select("node", "root")
+        pairs = unbroadcast(roots.select("node", "root"), most)
         rest = live.join(pairs.toDF("a", "ra"), "a").join(pairs.toDF("b", "rb"), "b").where("ra <> rb")
         rest = stage(rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{label}-live", files)
         discard(live)
         live = rest
         if live.isEmpty():
             discard(live)
-            return pairs
+            return roots.select("node", "root")
         hooks = live.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to"))
-        moved = stars(pairs.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        moved = stars(pairs.join(unbroadcast(hooks, most), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         discard(roots)
         roots = moved
     raise RuntimeError(f"components of {label} did not settle in {rounds} rounds")

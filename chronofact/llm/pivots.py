@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import components, discard, stage, whole_groups
+from chronofact.llm.common import components, discard, stage, unbroadcast, whole_groups
 from chronofact.llm.topk import _rows
 
 #: Most reference points, whatever the number of vectors, and most of them that describe one vector.
@@ -189,7 +189,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     named = stage(hashed.select("vec_id", "ok", *(F.when(F.col("ok"), F.col(h)).alias(h) for h in ("h1", "h2"))), "pivot-names")
     members = named.where("ok").select("h1", "h2", "vec_id").distinct().groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     each = hashed.where("ok").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = stage(members.join(each, ["h1", "h2"]).select("h1", "h2", F.xxhash64("label", F.size("v")).alias("label"), "rep", "weight", "v"), "pivot-classes", 4 * cores)
+    n_rows = named.count()
+    classes = stage(unbroadcast(members, n_rows).join(each, ["h1", "h2"]).select("h1", "h2", F.xxhash64("label", F.size("v")).alias("label"), "rep", "weight", "v"), "pivot-classes", 4 * cores)
 
     total = classes.count()
     many = min(MOST_PIVOTS, max(16, isqrt(total)))
@@ -204,12 +205,12 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     pairs = F.expr("flatten(transform(array_sort(perm), p -> transform(filter(perm, q -> q > p), q -> struct(p as lo, q as hi))))")
     posts = described.withColumn("pair", F.explode(F.when(F.size("perm") > 1, pairs).otherwise(F.expr("array(struct(perm[0] as lo, perm[0] as hi))"))))
-    posts = posts.join(classes.select("rep", "label"), "rep").select("label", F.col("pair.lo").cast("long").alias("lo"), F.col("pair.hi").cast("long").alias("hi"), "rep")
+    posts = posts.join(unbroadcast(classes.select("rep", "label"), total), "rep").select("label", F.col("pair.lo").cast("long").alias("lo"), F.col("pair.hi").cast("long").alias("hi"), "rep")
     lists = stage(posts.groupBy("label", "lo", "hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("long")).drop("n"), "pivot-lists", 4 * cores)
     # a vector is in at most MOST_NEAREST * (MOST_NEAREST - 1) / 2 lists
-    met = posts.join(lists, ["label", "lo", "hi"]).groupBy("rep").agg(F.collect_list(F.struct("lo", "hi", "parts")).alias("lists"))
+    met = posts.join(unbroadcast(lists, lists.count()), ["label", "lo", "hi"]).groupBy("rep").agg(F.collect_list(F.struct("lo", "hi", "parts")).alias("lists"))
     meets = F.expr("transform(sequence(0L, parts - 1), o -> struct(least(o, part) as i, greatest(o, part) as j, int(part > o) as side))")
-    full = met.join(classes.select("rep", "label", "weight", "v"), "rep").join(described, "rep")
+    full = met.join(unbroadcast(classes.select("rep", "label", "weight", "v"), total), "rep").join(unbroadcast(described, total), "rep")
     full = full.select("label", "rep", "weight", "v", "perm", F.explode("lists").alias("l")).select("label", "rep", "weight", "v", "perm", "l.*").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).withColumn("m", F.explode(meets))
     key = ["i", "j", "lo", "hi", "label"]
     full = full.select(F.col("m.i").alias("i"), F.col("m.j").alias("j"), "lo", "hi", "label", F.col("m.side").cast("long").alias("side"), "rep", "weight", "v", "perm")
@@ -217,8 +218,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
     roots = components(found.where("kind = 1").select("a", "b"), "pivots").toDF("rep", "root")
-    table = classes.select("h1", "h2", "rep", "weight").join(counts, "rep", "left").join(roots, "rep", "left")
+    table = classes.select("h1", "h2", "rep", "weight").join(unbroadcast(counts, total), "rep", "left").join(unbroadcast(roots, total), "rep", "left")
     table = stage(table.select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "pivot-table", 4 * cores)
     discard(classes, described, lists, found)
-    out = named.join(table, ["h1", "h2"], "left")  # a row that isn't sound has null hashes
+    out = named.join(unbroadcast(table, total), ["h1", "h2"], "left")  # a row that isn't sound has null hashes
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
