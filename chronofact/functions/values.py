@@ -100,12 +100,12 @@ def unify(ka: str, kb: str) -> str:
 # --- text forms that identifiers are made of -------------------------------------------------------------
 
 
-def number_text(x: float) -> str:
-    """The shortest decimal text that reads back as x, in the notation of ECMAScript."""
+def number_text(x: float, signed_zero: bool = False) -> str:
+    """The shortest decimal text that reads back as x, in the notation of ECMAScript; with signed_zero, -0 for a negative zero."""
     if not math.isfinite(x):
         raise ValueError("not a finite number")
     if x == 0:
-        return "0"
+        return "-0" if signed_zero and math.copysign(1, x) < 0 else "0"
     digits = repr(abs(float(x)))
     mantissa, _, exponent = digits.partition("e")
     whole, _, fraction = mantissa.partition(".")
@@ -125,8 +125,11 @@ def number_text(x: float) -> str:
     return sign + figures[0] + (f".{figures[1:]}" if n > 1 else "") + e
 
 
-def canonical_json(value) -> str:
-    """JSON with keys sorted by UTF-16 units and no blanks; numbers as in ECMAScript; rejects what JSON can't say."""
+def canonical_json(value, signed_zero: bool = False) -> str:
+    """JSON with keys sorted by UTF-16 units and no blanks; numbers as in ECMAScript; rejects what JSON can't say.
+
+    A negative zero is written as 0, so that both have one text; signed_zero keeps its sign.
+    """
     open_now: set[int] = set()
 
     def text(v) -> str:
@@ -135,7 +138,7 @@ def canonical_json(value) -> str:
         if isinstance(v, bool):
             return "true" if v else "false"
         if isinstance(v, (int, float)):
-            return number_text(float(v))
+            return number_text(float(v), signed_zero)
         if isinstance(v, str):
             return json.dumps(v, ensure_ascii=False)
         if id(v) in open_now:

@@ -1,4 +1,7 @@
-"""Entity snapshots: the state of an entity at a commit, as canonical JSON with a content hash."""
+"""Entity snapshots: the state of an entity at a commit, as canonical JSON with a content hash.
+
+Zero and negative zero have one text and one hash, unless signed_zero asks for the sign that the fact has.
+"""
 
 from __future__ import annotations
 
@@ -12,26 +15,32 @@ from chronofact.sources.basis import Basis, visible
 VALUE = ["attribute", "value_type", "value_string", "value_number", "value_boolean", "value_datetime", "value_json"]
 
 
-@F.pandas_udf(T.StructType([T.StructField("state", T.StringType()), T.StructField("hash", T.StringType())]))
-def _canonical(facts):
-    import json
+def _canonical(signed_zero: bool = False):
+    @F.pandas_udf(T.StructType([T.StructField("state", T.StringType()), T.StructField("hash", T.StringType())]))
+    def run(facts):
+        import json
+
+        import pandas as pd
+
+        def text_of(value):
+            return canonical_json(value, signed_zero)
 
-    import pandas as pd
+        def one(rows):
+            state: dict[str, list] = {}
+            for r in rows:
+                kind = r["value_type"]
+                v = json.loads(r["value_json"]) if kind == "json" else r["value_number"] if kind == "number" else bool(r["value_boolean"]) if kind == "boolean" else int(r["value_datetime"]) if kind == "datetime" else r["value_string"]
+                state.setdefault(r["attribute"], []).append({"type": kind, "value": v})
+            text = text_of({a: sorted(vs, key=text_of) for a, vs in state.items()})
+            return text, content_id("entity-snapshot", text)
 
-    def one(rows):
-        state: dict[str, list] = {}
-        for r in rows:
-            kind = r["value_type"]
-            v = json.loads(r["value_json"]) if kind == "json" else r["value_number"] if kind == "number" else bool(r["value_boolean"]) if kind == "boolean" else int(r["value_datetime"]) if kind == "datetime" else r["value_string"]
-            state.setdefault(r["attribute"], []).append({"type": kind, "value": v})
-        text = canonical_json({a: sorted(vs, key=canonical_json) for a, vs in state.items()})
-        return text, content_id("entity-snapshot", text)
+        done = [one(rows) for rows in facts]
+        return pd.DataFrame({"state": [d[0] for d in done], "hash": [d[1] for d in done]})
 
-    done = [one(rows) for rows in facts]
-    return pd.DataFrame({"state": [d[0] for d in done], "hash": [d[1] for d in done]})
+    return run
 
 
-def at_commits(facts: DataFrame, commits: DataFrame) -> DataFrame:
+def at_commits(facts: DataFrame, commits: DataFrame, signed_zero: bool = False) -> DataFrame:
     """Snapshots of (entity_id, position, tx_id, instant) commits: the facts live right after each of them."""
     own = facts.select("entity_id", "recorded_position", "retracted_position", "valid_from", "valid_to", *VALUE)
     alive = (F.col("recorded_position") <= F.col("position")) & (F.col("retracted_position").isNull() | (F.col("retracted_position") > F.col("position")))
@@ -40,7 +49,7 @@ def at_commits(facts: DataFrame, commits: DataFrame) -> DataFrame:
     states = seen.groupBy("entity_id", "position", "tx_id", "instant").agg(F.collect_list(F.struct(*VALUE)).alias("facts"))
     # a commit that left nothing of an entity keeps its empty snapshot
     every = commits.join(states.select("entity_id", "position", "facts"), ["entity_id", "position"], "left").withColumn("facts", F.coalesce("facts", F.array()))
-    return every.withColumn("c", _canonical("facts")).select("entity_id", "position", "tx_id", "instant", F.col("c.state").alias("state"), F.col("c.hash").alias("hash"))
+    return every.withColumn("c", _canonical(signed_zero)("facts")).select("entity_id", "position", "tx_id", "instant", F.col("c.state").alias("state"), F.col("c.hash").alias("hash"))
 
 
 def commits_of(facts: DataFrame, log: DataFrame) -> DataFrame:
@@ -50,14 +59,14 @@ def commits_of(facts: DataFrame, log: DataFrame) -> DataFrame:
     return touched.join(log.select("position", "tx_id", "instant"), "position").select("entity_id", "position", "tx_id", "instant")
 
 
-def materialize(facts: DataFrame, log: DataFrame) -> DataFrame:
-    return at_commits(facts, commits_of(facts, log))
+def materialize(facts: DataFrame, log: DataFrame, signed_zero: bool = False) -> DataFrame:
+    return at_commits(facts, commits_of(facts, log), signed_zero)
 
 
-def backfill(facts: DataFrame, log: DataFrame, have: DataFrame) -> DataFrame:
+def backfill(facts: DataFrame, log: DataFrame, have: DataFrame, signed_zero: bool = False) -> DataFrame:
     """Snapshots of the newest commit of entities that have none."""
     missing = commits_of(facts, log).join(have.select("entity_id").distinct(), "entity_id", "left_anti")
-    return at_commits(facts, _newest(missing))
+    return at_commits(facts, _newest(missing), signed_zero)
 
 
 def _newest(rows: DataFrame, order: tuple[str, ...] = ("position", "instant", "tx_id")) -> DataFrame:
@@ -120,4 +129,4 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def state_of(facts: DataFrame, basis: Basis) -> DataFrame:
     """(entity_id, state, hash) of every entity at a basis."""
     rows = facts.where(visible(basis.resolved())).groupBy("entity_id").agg(F.collect_list(F.struct(*VALUE)).alias("facts"))
-    return rows.withColumn("c", _canonical("facts")).select("entity_id", "c.*")
+    return rows.withColumn("c", _canonical()("facts")).select("entity_id", "c.*")
